@@ -1,12 +1,11 @@
-"""Helpers shared by the corpus operators: let-bindings and word expressions."""
+"""Helpers shared by the corpus operators: words, and what they take from the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.core import let
 from newsloom.plans.cutpoint import materialize, release
 
 __all__ = ["NOT_SPACE", "SPACE", "let", "materialize", "n_words", "release", "words"]
@@ -16,14 +15,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``, however often that names it.
-
-    A lambda variable can't be inlined, so Catalyst cannot copy ``value`` into a loop.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     """The words of a text, in order: runs of anything but ASCII white space. Null: no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

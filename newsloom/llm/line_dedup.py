@@ -71,8 +71,8 @@ def covered_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with covered lines taken out of ``text``, plus ``lines_removed`` (long)."""
+def _deduplicated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_row: the row with its new text, _n: how many lines went)."""
     covered = covered_places(docs, doc_id, text).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("covered").alias("_covered"))
     row = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(text)).alias("_k"))
     joined = row.join(covered, F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
@@ -85,14 +85,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return let(F.split(F.col(f"_row.{text}"), "\n"), join)
 
     new = F.when(F.col("_covered").isNull(), F.col(f"_row.{text}")).otherwise(kept(F.col("_covered")))
-    return joined.select(
-        F.col("_row").withField(text, new).alias("_row"), F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("_n")
-    ).select("_row.*", F.col("_n").alias("lines_removed"))
+    return joined.select(F.col("_row").withField(text, new).alias("_row"), F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("_n"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with covered lines taken out of ``text``, and ``lines_removed`` (long), which
+    takes the place of a column of that name."""
+    row = F.col("_row").dropFields("lines_removed") if "lines_removed" in docs.columns else F.col("_row")
+    return _deduplicated(docs, doc_id, text).select(row.alias("_row"), "_n").select("_row.*", F.col("_n").alias("lines_removed"))
 
 
-def strip_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def strip_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the same columns, its texts deduplicated and ``n_chars`` counted anew."""
-    out = dedup_lines(docs, doc_id, text)
+    row = F.col("_row")
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("lines_removed") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        counted = F.when(F.col("_n") > 0, F.length(row[text]).cast("long")).otherwise(row[n_chars])
+        row = row.withField(n_chars, counted)
+    return _deduplicated(docs, doc_id, text).select(row.alias("_row")).select("_row.*")

@@ -74,17 +74,21 @@ def shard_by_bytes(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, **names) -> None:
-    """Write ``docs`` as ``shards`` folders (``shard=N``) of rows in slot order."""
-    assigned = shard_by_bytes(docs, shards, **names).select(F.col("doc_id").alias("_id"), "shard", "slot", F.col("text_crc32").alias("_crc"))
-    key, text = names.get("doc_id", "doc_id"), names.get("text", "text")
-    assigned = assigned.dropDuplicates(["_id", "_crc"])
+def write_shards(docs: DataFrame, path: str, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Write ``docs`` as ``shards`` folders (``shard=N``) of rows in slot order.
+
+    Repeated rows share the least of their slots; a column named ``shard`` gives way.
+    """
+    placed = shard_by_bytes(docs, shards, doc_id=doc_id, text=text)
+    at = placed.groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc")).agg(F.min(F.struct("shard", "slot")).alias("_at"))
+    rows = docs.select(F.struct("*").alias("_row"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_c"))
+    row = F.col("_row").dropFields("shard") if "shard" in docs.columns else F.col("_row")
     (
-        docs.withColumn("_c", F.crc32(F.coalesce(F.col(text), F.lit(""))))
-        .join(assigned, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_crc")))
-        .drop("_id", "_c", "_crc")
-        .repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
+        rows.join(at, F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_crc")))
+        .repartitionByRange("_at")
+        .sortWithinPartitions("_at")
+        .select(row.alias("_row"), F.col("_at.shard").alias("shard"))
+        .select("_row.*", "shard")
         .write.partitionBy("shard")
         .parquet(path)
     )
