@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from newsloom.functions.core import let, lookup
 from newsloom.functions.fixed import EVENT_ROOT_CODES, LANGUAGE_NAMES
@@ -16,12 +17,12 @@ from newsloom.functions.fixed import EVENT_ROOT_CODES, LANGUAGE_NAMES
 LOCATION = "array<struct<geo_type:bigint,name:string,country_code:string,adm1_code:string,lat:double,lon:double>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(raw: pd.Series) -> pd.Series:
     return raw.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Case and accents away: decomposed, without combining marks."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c)), na_action="ignore")

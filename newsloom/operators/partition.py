@@ -21,12 +21,13 @@ from newsloom.operators.components import connected_components
 from newsloom.plans.cutpoint import materialize
 
 
-def solve(edges: list[tuple[int, int, float]], resolution: float, total: float | None = None, seed: int = 2026) -> dict[int, int]:
-    """Communities (named by their least node) of a small graph.
+def solve(edges: list[tuple[int, int, float]], resolution: float, total: float | None = None, seed: int = 2026, starts: int = 6) -> dict[int, int]:
+    """Communities (named by their least node) of a small graph: the best of some starts.
 
     ``total`` None: the constant Potts model, a pair of nodes costs ``resolution``. Else
     modularity: a pair costs resolution * strength * strength / (2 total).
     """
+    edges = sorted(edges)
     nodes = sorted({x for e in edges for x in e[:2]})
     index = {x: i for i, x in enumerate(nodes)}
     graph: list[dict[int, float]] = [defaultdict(float) for _ in nodes]
@@ -38,15 +39,33 @@ def solve(edges: list[tuple[int, int, float]], resolution: float, total: float |
             mass[index[a]] += w
             mass[index[b]] += w
     cost = resolution if total is None else resolution / (2 * total)
-    where = np.arange(len(nodes))
-    rng = np.random.default_rng(seed)
+    tried = [_level_by_level(graph, mass, cost, np.random.default_rng(seed + k)) for k in range(starts if len(nodes) > 2 else 1)]
+    label = max(tried, key=lambda c: round(_worth(graph, mass, cost, c), 9))
+    least: dict[int, int] = {}
+    for i, c in enumerate(label):
+        least.setdefault(c, nodes[i])
+    return {nodes[i]: least[c] for i, c in enumerate(label)}
+
+
+def _worth(graph: list[dict[int, float]], mass: list[float], cost: float, label: list[int]) -> float:
+    """Twice the weight inside, less the cost of all pairs inside (and of nodes with themselves)."""
+    size: dict[int, float] = defaultdict(float)
+    for x, c in enumerate(label):
+        size[c] += mass[x]
+    inside = sum(w for x, near in enumerate(graph) for y, w in near.items() if label[x] == label[y])
+    return inside - cost * sum(s * s for s in size.values())
+
+
+def _level_by_level(graph: list[dict[int, float]], mass: list[float], cost: float, rng: np.random.Generator) -> list[int]:
+    """Move nodes, merge the refined parts into one node each, and again, until nothing merges;
+    then one more round of moves over single nodes, from what was found."""
+    single, alone, where = graph, mass, np.arange(len(graph))
     while True:
         coarse = _move(graph, mass, cost, list(range(len(graph))), rng)
         fine = _refine(graph, mass, cost, coarse)
         names = {c: i for i, c in enumerate(dict.fromkeys(fine))}
         if len(names) == len(graph):
-            coarse_of = coarse
-            break
+            return _move(single, alone, cost, [coarse[x] for x in where], rng)
         where = np.array([names[fine[x]] for x in where])
         merged: list[dict[int, float]] = [defaultdict(float) for _ in names]
         weight = [0.0] * len(names)
@@ -56,11 +75,6 @@ def solve(edges: list[tuple[int, int, float]], resolution: float, total: float |
                 if fine[x] != fine[y]:
                     merged[names[fine[x]]][names[fine[y]]] += w
         graph, mass = merged, weight
-    label = [coarse_of[x] for x in where]
-    least: dict[int, int] = {}
-    for i, c in enumerate(label):
-        least.setdefault(c, nodes[i])
-    return {nodes[i]: least[c] for i, c in enumerate(label)}
 
 
 def _move(graph: list[dict[int, float]], mass: list[float], cost: float, at: list[int], rng: np.random.Generator) -> list[int]:

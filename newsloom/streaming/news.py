@@ -22,7 +22,7 @@ def mention_stream(spark: SparkSession, directory: str, files_a_trigger: int = 9
     lines = spark.readStream.option("maxFilesPerTrigger", files_a_trigger).option("pathGlobFilter", "*.[cC][sS][vV]").text(directory)
     cut = lines.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), F.split(F.regexp_replace("value", r"\r$", ""), "\t", -1).alias("f"))
     rows = cut.where(F.size("f") == len(MENTION_COLUMNS))
-    return typed_mentions(rows.select(*[F.col("f")[i].alias(c) for i, c in enumerate(MENTION_COLUMNS)], "source_file"))
+    return typed_mentions(rows.select(*[F.nullif(F.col("f")[i], F.lit("")).alias(c) for i, c in enumerate(MENTION_COLUMNS)], "source_file"))
 
 
 def first_arrivals(stream: DataFrame, key: str = "canonical_url", at: str = "MentionTimeDate", late: str = "1 day") -> DataFrame:
