@@ -6,9 +6,11 @@ nodes by their centroids' distance, and visits as many leaves as calibration ask
 a bounded set of calibration queries, whose true neighbours a scan of all rows in blocks
 gives, leaf visits widen until the wanted recall is reached.
 
-Bounded: the sample (``sample_rows``), the calibration set (``calibration``), the tree
-(at most a node per ``leaf_sample`` / 2 sampled rows), which tasks receive whole. Not
-bounded, so never gathered: rows, queries, candidates.
+Bounded: the sample (``sample_rows``), the calibration set (``calibration``) and the tree
+that both make, which tasks receive whole. Not bounded, so never gathered: rows, queries,
+candidates. How far a tree prunes is the data's doing: where clusters are noise in many
+dimensions, calibration asks for half of the leaves and more, and finer leaves save
+little but cost a visit each; ``leaves`` sets how fine they are.
 
 Skew: equal vectors are one class and keep their ``k`` + 1 smallest ids, all that any
 answer can hold; a limit that Spark applies before the shuffle. Equal queries are searched
@@ -38,13 +40,15 @@ from newsloom.llm.common import materialize
 @dataclass(frozen=True)
 class TreeSettings:
     sample_rows: int = 50_000
-    leaf_sample: int = 64
+    #: The largest node splits while it has over ``leaf_sample`` sampled rows and leaves are fewer than ``leaves``.
+    leaf_sample: int = 256
+    leaves: int = 100
     branching: int = 8
     rounds: int = 8
     calibration: int = 256
-    recall: float = 0.97
+    recall: float = 0.95
     block_rows: int = 8_192
-    block_queries: int = 2_048
+    block_queries: int = 512
     seed: int = 7
 
 
@@ -60,18 +64,21 @@ class Tree:
 
     @classmethod
     def fit(cls, rows: np.ndarray, s: TreeSettings) -> Tree:
+        """Split the largest leaf first, until there are enough or all are small."""
         rng = np.random.default_rng(s.seed)
-        centroids, children, todo = [_unit(rows.mean(axis=0, keepdims=True))[0]], [[]], [(0, np.arange(len(rows)))]
-        while todo:
-            node, own = todo.pop()
+        centroids, children, leaves = [_unit(rows.mean(axis=0, keepdims=True))[0]], [[]], 1
+        todo = [(-len(rows), 0, np.arange(len(rows)))]
+        while todo and leaves < s.leaves:
+            _, node, own = heapq.heappop(todo)
             if len(own) <= s.leaf_sample:
-                continue
+                break
             centres, label = _split(rows[own], s, rng)
             if len(centres) < 2:
                 continue
+            leaves += len(centres) - 1
             for c in range(len(centres)):
                 children[node].append(len(children))
-                todo.append((len(children), own[label == c]))
+                heapq.heappush(todo, (-int((label == c).sum()), len(children), own[label == c]))
                 centroids.append(centres[c])
                 children.append([])
         return cls(np.array(centroids), children)
@@ -137,27 +144,34 @@ def _classes(rows: DataFrame, k: int, vec_id: str, vector: str) -> tuple[DataFra
     return valid, ids.select(F.col("ids")[0].alias("rep"), "ids", "vec")
 
 
-def _top(scores: np.ndarray, reps: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the ``k`` largest, ties to smaller reps; more if rounding may decide."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    return np.flatnonzero(scores >= least - 1e-12)
-
-
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosines of one row with many, in double precision on the rows as given."""
-    return (v * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(axis=1)))
-
-
-def _nearest(q: np.ndarray, v: np.ndarray, reps: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row of q, rows of v, scores): the k nearest of each q in order."""
-    rough = _unit(q) @ _unit(v).T
-    for i in range(len(q)):
-        at = _top(rough[i], reps, k)
-        score = _exact(q[i], v[at])
-        best = np.lexsort((reps[at], -score))[:k]
-        yield i, at[best], score[best]
+    """Cosines of equally many rows, in double precision on the rows as given."""
+    return (v * q).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((v * v).sum(axis=-1)))
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, score): the k nearest of each q, ties to smaller reps.
+
+    A matrix product finds a few more than k; exact scores of those decide. Queries with
+    more ties at the edge than that get all their ties.
+    """
+    rough, spare = _unit(q) @ _unit(v).T, k + 4
+    if len(v) <= spare:
+        i, j = np.divmod(np.arange(rough.size), len(v))
+    else:
+        near = np.argpartition(-rough, spare - 1, axis=1)[:, :spare]
+        score = np.take_along_axis(rough, near, axis=1)
+        edge = np.partition(-score, k - 1, axis=1)[:, k - 1] * -1 - 1e-12
+        crowded = score.min(axis=1) >= edge
+        i, j = np.repeat(np.flatnonzero(~crowded), spare), near[~crowded].ravel()
+        for x in np.flatnonzero(crowded):
+            ties = np.flatnonzero(rough[x] >= edge[x])
+            i, j = np.append(i, np.full(len(ties), x)), np.append(j, ties)
+    score = np.concatenate([_exact(q[i[a : a + 65_536]], v[j[a : a + 65_536]]) for a in range(0, len(i), 65_536)])
+    order = np.lexsort((reps[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+    return i[rank < k], j[rank < k], score[rank < k]
 
 
 def exact_neighbours(queries: tuple[np.ndarray, np.ndarray], indexed: DataFrame, k: int) -> DataFrame:
@@ -169,9 +183,8 @@ def exact_neighbours(queries: tuple[np.ndarray, np.ndarray], indexed: DataFrame,
             if not b.num_rows:
                 continue
             reps, leaves, v = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))
-            out = [(q_ids[i], reps[j], leaves[j], x) for i, at, score in _nearest(q_vecs, v, reps, k) for j, x in zip(at, score)]
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["q", "rep", "leaf", "score"])
+            i, j, score = _nearest(q_vecs, v, reps, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[i], reps[j], leaves[j], score)], names=["q", "rep", "leaf", "score"])
 
     found = indexed.select("rep", "leaf", "vec").mapInArrow(run, "q long, rep long, leaf long, score double")
     return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k)
@@ -243,15 +256,10 @@ def search(
     )
 
     def compare(have: pa.Table, want: pa.Table) -> pa.Table:
-        q, reps, qs, ids, scores = [], have.column("rep").to_numpy(), [], [], []
-        if len(have) and len(want):
-            q, lists = want.column("q").to_numpy(), have.column("ids").combine_chunks()
-            for i, at, score in _nearest(_matrix(want.column("qvec")), _matrix(have.column("vec")), reps, k + 1):
-                qs.append(np.full(len(at), q[i]))
-                ids.append(at)
-                scores.append(score)
-            return pa.table({"q": np.concatenate(qs), "ids": lists.take(pa.array(np.concatenate(ids))), "score": np.concatenate(scores)})
-        return pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+        if not len(have) or not len(want):
+            return pa.table({"q": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
+        i, j, score = _nearest(_matrix(want.column("qvec")), _matrix(have.column("vec")), have.column("rep").to_numpy(), k + 1)
+        return pa.table({"q": want.column("q").to_numpy()[i], "ids": have.column("ids").combine_chunks().take(pa.array(j)), "score": score})
 
     key = ("leaf", "block", "turn")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "q long, ids array<long>, score double")
