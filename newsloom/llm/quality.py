@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import NOT_SPACE, SPACE, let, materialize, words
+from newsloom.llm.common import NOT_SPACE, SPACE, let, materialize, n_words, words
 
 
 @dataclass(frozen=True)
@@ -114,10 +114,6 @@ def removed_lines(
     )
 
 
-def _verdict(base: Column, removed_words: Column, limits: LineLimits) -> Column:
-    return ~base["base_failed"] & (removed_words <= limits.depleted * base["n_words"])
-
-
 def _removed_words(removed: Column) -> Column:
     return F.coalesce(F.aggregate(removed, F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
 
@@ -128,7 +124,7 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: str = "doc
     gone = removed_lines(docs, limits, doc_id, text, host).select("_id", "_key", _removed_words(F.col("removed")).alias("n"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return base.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select(
-        "doc_id", "base.*", n.alias("removed_words"), _verdict(F.col("base"), n, limits).alias("kept")
+        "doc_id", "base.*", n.alias("removed_words"), (~F.col("base.base_failed") & (n <= limits.depleted * F.col("base.n_words"))).alias("kept")
     )
 
 
@@ -139,9 +135,11 @@ def clean(
     gone = removed_lines(docs, limits, doc_id, text, host)
     row = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(text)).alias("_k"))
     body = F.col(f"_row.{text}")
+    # a text's own rules need no join: what they reject never travels, and they are evaluated once
     judged = (
-        row.join(gone, F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-        .where(_verdict(base_rules(body), _removed_words(F.col("removed")), limits))
+        row.where(~base_rules(body)["base_failed"])
+        .join(gone, F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+        .where(_removed_words(F.col("removed")) <= limits.depleted * n_words(body))
     )
 
     def rest(lines: Column) -> Column:
