@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.core import clip, empty_if_null
 from newsloom.operators.partition import communities
 from newsloom.operators.ranking import top_per_key
-from newsloom.operators.vectors import PRIOR, dot, mean_vectors, unit
+from newsloom.operators.vectors import PRIOR, mean_vectors, pairs_above, unit
 
 
 def top_features(rows: DataFrame, k: int, group: str = "incident_id", feature: str = "feature") -> DataFrame:
@@ -75,23 +75,22 @@ def title_links(
     channels: tuple[str, ...] = ("entity", "event"),
 ) -> DataFrame:
     """(left, right, weight): incidents with close centroids, near in time, and corroborated
-    by a shared feature unless very close. Centroids are compared within the time gap
-    only, which the day they span makes an equality join."""
+    by a shared feature unless very close.
+
+    A calibrated score is never above the cosine, so pairs below ``least`` in cosine are
+    left out where blocks of centroids meet.
+    """
     with_vec = members.where("incident_id >= 0 and vector is not null")
-    centroids = mean_vectors(with_vec, ["incident_id"], "vector", "c").select("incident_id", unit(F.col("c")).alias("c"))
+    centroids = mean_vectors(with_vec, ["incident_id"], "vector", "c").select(F.col("incident_id").alias("id"), unit(F.col("c")).alias("vector"))
     span = spans(members)
-    days = int(hours // 24) + 1
-    day = F.datediff(F.col("start").cast("date"), F.lit("1970-01-01").cast("date"))
-    last = F.datediff(F.col("end").cast("date"), F.lit("1970-01-01").cast("date"))
-    own = centroids.join(span, "incident_id").join(dominant_language(with_vec), "incident_id")
-    a = own.select(F.col("incident_id").alias("left"), F.col("c").alias("cl"), F.col("language").alias("ll"), F.explode(F.sequence(day - days, last + days)).alias("d"))
-    b = own.select(F.col("incident_id").alias("right"), F.col("c").alias("cr"), F.col("language").alias("lr"), F.explode(F.sequence(day, last)).alias("d"))
-    met = a.join(b, "d").where("left < right").dropDuplicates(["left", "right"])
+    lang = dominant_language(with_vec)
+    side = lambda k, c: lang.select(F.col("incident_id").alias(k), F.col("language").alias(c))
     q = background.select(F.col("group_left").alias("ga"), F.col("group_right").alias("gb"), "quantile")
     scored = (
-        met.join(q, (F.least("ll", "lr") == F.col("ga")) & (F.greatest("ll", "lr") == F.col("gb")), "left")
+        pairs_above(centroids, least).join(side("left", "ll"), "left").join(side("right", "lr"), "right")
+        .join(q, (F.least("ll", "lr") == F.col("ga")) & (F.greatest("ll", "lr") == F.col("gb")), "left")
         .withColumn("q", F.coalesce("quantile", F.lit(PRIOR)))
-        .withColumn("weight", clip((dot(F.col("cl"), F.col("cr")) - F.col("q")) / (1 - F.col("q")), 0.0, 1.0))
+        .withColumn("weight", clip((F.col("cosine") - F.col("q")) / (1 - F.col("q")), 0.0, 1.0))
         .where(F.col("weight") >= least).select("left", "right", "weight")
     )
     near = within_gap(scored, span, hours)

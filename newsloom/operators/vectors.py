@@ -83,37 +83,129 @@ def pair_background(rows: DataFrame, group: str, vector: str = "vector", key: st
     return cos.groupBy("group_left", "group_right").agg(clip(F.percentile("c", q), 0.0, 0.99).alias("quantile"), F.count("*").alias("pairs"))
 
 
-def knn(rows: DataFrame, k: int = 30, least: float = 0.35, key: str = "id", vector: str = "vector", block: int = 8192) -> DataFrame:
-    """(node, neighbor, cosine, rank): exact neighbours of unit vectors, ties to smaller ids.
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return t.column("id").to_numpy(), flat.reshape(len(t), -1)
 
-    Rows are dealt to blocks by a hash; every block of queries meets every block of
-    candidates in a task of its own, which keeps ``k`` of each query. Work is quadratic,
-    memory is two blocks a task whatever the number of rows.
-    """
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    own = materialize(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b")), "vectors")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    queries = own.select(F.col("b").alias("qb"), every.alias("cb"), "id", "v")
-    candidates = own.select(every.alias("qb"), F.col("b").alias("cb"), "id", "v")
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return t.column("id").to_numpy(), np.array(t.column("v").to_pylist(), dtype=np.float64).reshape(len(t), -1)
+def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b, c = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({"node": pa.array(a, pa.int64()), "neighbor": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+
+def _nearest(k: int, least: float):
+    """Of each query in one table the ``k`` nearest rows of the other, ties to smaller ids."""
 
     def compare(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out = []
         if len(q) and len(c):
-            (qi, qv), (ci, cv) = matrix(q), matrix(c)
+            (qi, qv), (ci, cv) = _matrix(q), _matrix(c)
             for i, cos in zip(qi, qv @ cv.T):
                 at = np.flatnonzero((cos >= least) & (ci != i))
-                out += [(i, ci[j], cos[j]) for j in at[np.lexsort((ci[at], -cos[at]))][:k]]
-        a, b, s = zip(*out) if out else ((), (), ())
-        return pa.table({"node": pa.array(a, pa.int64()), "neighbor": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64())})
+                at = at[np.lexsort((ci[at], -cos[at]))][:k]
+                out.append((np.full(len(at), i), ci[at], cos[at]))
+        return _table(out)
+
+    return compare
+
+
+_FOUND = "node long, neighbor long, cosine double"
+
+
+def _rows(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    return materialize(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
+
+
+def _again() -> list[Column]:
+    """The same columns as new attributes, for tables that meet themselves."""
+    return [F.col("id").alias("id"), F.col("v").alias("v")]
+
 
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(compare, "node long, neighbor long, cosine double")
+def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(F.desc("cosine"), "neighbor"))).where(F.col("rank") <= k)
 
 
+def knn(rows: DataFrame, k: int = 30, least: float = 0.35, key: str = "id", vector: str = "vector", block: int = 4096, exact_below: int = 200_000) -> DataFrame:
+    """(node, neighbor, cosine, rank): neighbours of unit vectors, ties to smaller ids.
+
+    Up to ``exact_below`` rows, every block of queries meets every block of candidates in
+    a task of its own: exact, quadratic work, two blocks of memory a task. Beyond, rows
+    are compared within cells near them (``cell_neighbours``).
+    """
+    own = _rows(rows, key, vector)
+    n = own.count()
+    if n > exact_below:
+        return _best(cell_neighbours(own, n, k, least, block), k)
+    blocks = max(1, -(-n // block))
+    numbered = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    queries = numbered.select(F.col("b").alias("qb"), every.alias("cb"), "id", "v")
+    candidates = numbered.select(every.alias("qb"), F.col("b").alias("cb"), *_again())
+    return _best(queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(_nearest(k, least), _FOUND), k)
+
+
+def _centres(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 2026) -> np.ndarray:
+    centres = sample[np.random.default_rng(seed).choice(len(sample), cells, replace=False)]
+    for _ in range(rounds):
+        label = np.argmax(sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, label, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    return centres
+
+
+def cell_neighbours(own: DataFrame, n: int, k: int, least: float, block: int = 4096, probes: int = 12, sample: int = 20_000) -> DataFrame:
+    """(node, neighbor, cosine): approximate neighbours, by k-means cells of a bounded sample.
+
+    A row is stored in its nearest cell and looks into its ``probes`` nearest ones. A cell
+    is compared in blocks of rows by blocks of queries, so a crowded cell spreads over as
+    many tasks as it needs.
+    """
+    drawn = own.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    centres = _centres(_matrix(drawn)[1], int(min(1024, max(1, len(drawn) // 4), max(1, n**0.5))))
+    probes = min(probes, len(centres))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(_matrix(pa.Table.from_batches([b]))[1] @ centres.T), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=["id", "v", "cells"])
+
+    near = materialize(own.mapInArrow(cells, "id long, v array<double>, cells array<long>"), "cells")
+    stored = near.select(F.col("cells")[0].alias("c"), "id", "v")
+    asked = near.select(F.explode("cells").alias("c"), "id", "v")
+    # one row a cell
+    blocks = stored.groupBy("c").agg((F.floor(F.count("*") / block) + 1).alias("nb"))
+    turns = asked.groupBy("c").agg((F.floor(F.count("*") / block) + 1).alias("nt"))
+    shape = materialize(blocks.join(turns, "c"), "cell-sizes")
+    left = asked.join(shape, "c").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"), F.pmod(F.xxhash64("id"), F.col("nt")).alias("t"), "id", "v")
+    right = stored.join(shape, "c").select("c", F.pmod(F.xxhash64("id"), F.col("nb")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1)).alias("t"), *_again())
+    return left.groupBy("c", "b", "t").cogroup(right.groupBy("c", "b", "t")).applyInArrow(_nearest(k, least), _FOUND)
+
+
+def pairs_above(rows: DataFrame, least: float, key: str = "id", vector: str = "vector", block: int = 2048) -> DataFrame:
+    """(left, right, cosine): all pairs of unit vectors at ``least`` or above, block by block."""
+    own = _rows(rows, key, vector)
+    blocks = max(1, -(-own.count() // block))
+    numbered = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    queries = numbered.select(F.col("b").alias("qb"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1).cast("long"))).alias("cb"), "id", "v")
+    candidates = numbered.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("qb"), F.col("b").alias("cb"), *_again())
+
+    def compare(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return _table([])
+        (qi, qv), (ci, cv) = _matrix(q), _matrix(c)
+        cos = qv @ cv.T
+        i, j = np.nonzero(cos >= least)
+        a, b, cos = qi[i], ci[j], cos[i, j]
+        keep = a < b if key[0].as_py() == key[1].as_py() else a != b
+        return _table([(np.minimum(a, b)[keep], np.maximum(a, b)[keep], cos[keep])])
+
+    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(compare, _FOUND)
+    return found.withColumnsRenamed({"node": "left", "neighbor": "right"})
+
+
 def knn_pairs(neighbours: DataFrame) -> DataFrame:
     """Directed neighbours as distinct pairs left < right."""
     return neighbours.select(F.least("node", "neighbor").alias("left"), F.greatest("node", "neighbor").alias("right")).distinct()

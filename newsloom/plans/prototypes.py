@@ -220,10 +220,9 @@ def mixed_edges(weights: DataFrame, titles: DataFrame, title_weight: float, thre
     """
     by_entity = similarity.cosine_pairs(weights).withColumnRenamed("score", "e")
     least = max(1e-6, (threshold - (1 - title_weight)) / title_weight) if title_weight > 0 else 1.0
-    near = vectors.knn(titles, 1 << 20, least) if title_weight > 0 else None
     pairs = by_entity.select("left", "right")
-    if near is not None:
-        pairs = pairs.union(near.select(F.least("node", "neighbor"), F.greatest("node", "neighbor"))).distinct()
+    if title_weight > 0:
+        pairs = pairs.union(vectors.pairs_above(titles, least).select("left", "right")).distinct()
     side = lambda k, x: titles.select(F.col("id").alias(k), F.col("vector").alias(x))
     both = pairs.join(by_entity, ["left", "right"], "left").join(side("left", "a"), "left", "left").join(side("right", "b"), "right", "left")
     t = F.coalesce(vectors.dot(F.col("a"), F.col("b")), F.lit(0.0))

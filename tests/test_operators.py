@@ -145,6 +145,8 @@ def test_vectors(spark):
         s[i] = -1
         want = [j for j in np.lexsort((np.arange(60), -s))[:4] if s[j] >= 0.2]
         assert [r["neighbor"] for r in sorted(near, key=lambda r: r["rank"]) if r["node"] == i] == want
+    every = {(r["left"], r["right"]): r["cosine"] for r in vectors.pairs_above(rows, 0.2, block=16).collect()}
+    assert set(every) == {(i, j) for i, j in itertools.combinations(range(60), 2) if cos[i, j] >= 0.2} and all(abs(x - cos[k]) < 1e-9 for k, x in every.items())
     titled = rows.select(F.lit(1).alias("cluster"), F.col("id").alias("document_id"), "vector", F.concat(F.lit("t"), "id").alias("title")).where("id < 40")
     r = vectors.title_coherence(titled).first()
     c = v[:40].mean(axis=0)
@@ -152,6 +154,18 @@ def test_vectors(spark):
     assert abs(r["title_coherence"] - sims.mean()) < 1e-9 and r["title"] == f"t{np.argmax(sims)}"
 
 
+def test_cells(spark):
+    """Above the exact limit most true neighbours are still found, in blocks of any size."""
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.normal(size=(40, 16)), 25, axis=0) + 0.35 * rng.normal(size=(1000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = frame(spark, [(i, v[i].tolist()) for i in range(1000)], "id long, vector array<double>")
+    cos = v @ v.T - 2 * np.eye(1000)
+    want = {(i, int(j)) for i in range(1000) for j in np.argsort(-cos[i])[:5] if cos[i, j] >= 0.35}
+    got = {(r["node"], r["neighbor"]) for r in vectors.knn(rows, 5, 0.35, block=20, exact_below=100).collect()}
+    assert len(got & want) >= 0.95 * len(want) and all(cos[k] >= 0.35 for k in got)
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, size=(250, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, i) for i in range(2001, 2100)]
