@@ -24,8 +24,8 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints stays."""
-    return simhash.keep_one(docs, threshold=2, shingle=3)
+    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    return simhash.keep_one(docs, similarity=0.8, shingle=5)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,24 +39,32 @@ _SEED = 42
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def _votes(text: str | None, shingle: int) -> np.ndarray:
+    """Per bit, the hashes that have it less those that don't; zeros without words."""
     # bytes.split and bytes.lower know ASCII only, as the definition of words asks
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), _SEED)
+        return np.zeros(64, dtype=np.int64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    stops = (ends[shingle - 1 :] - 1).tolist()
-    votes, n = np.zeros(64, dtype=np.int64), len(stops)
+    starts, stops = [0], [len(joined)]
+    if len(words) > shingle:
+        starts = np.concatenate(([0], ends[:-1])).tolist()
+        stops = (ends[shingle - 1 :] - 1).tolist()
+    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(stops)
     for at in range(0, n, _CHUNK):
         hashes = np.array([digest(joined[a:b], _SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])], dtype="<u8")
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return 2 * votes - n
+
+
+def _pack(votes: np.ndarray) -> np.ndarray:
+    return np.packbits(votes > 0, axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return int(_pack(_votes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -202,14 +210,172 @@ def near_duplicates(
     return every.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 2, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one with its least id.
+# -- similarity of texts: fingerprints propose, shingles decide --------------------------
+
+def _probes(votes: np.ndarray, blocks: int, turned: int) -> np.ndarray:
+    """For rows of votes, the keys (block above, bits below) with any of each block's
+    ``turned`` least certain bits turned."""
+    fps, out = _pack(votes), []
+    turns = np.array([[k >> b & 1 for b in range(turned)] for k in range(1 << turned)], dtype=np.uint64)
+    for block, own in enumerate(np.array_split(np.arange(64), blocks)):
+        start, width = int(own[0]), len(own)
+        low = np.argsort(np.abs(votes[:, own]), axis=1, kind="stable")[:, :turned].astype(np.uint64)
+        bits = fps >> np.uint64(start) & np.uint64((1 << width) - 1)
+        masks = (turns[None] << low[:, None]).sum(axis=2, dtype=np.uint64)
+        out.append(bits[:, None] ^ masks | np.uint64(block << 32))
+    return np.concatenate(out, axis=1).astype(np.int64)
+
+
+def probed_fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = 3, blocks: int = 3, turned: int = 4) -> DataFrame:
+    """(doc_id, fp, probes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                votes = np.stack([_votes(t.as_py(), shingle) for t in b.column(1)])
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(_probes(votes, blocks, turned).ravel()), blocks << turned).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack(votes).view(np.int64)), keys], names=["doc_id", "fp", "probes"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, probes array<long>")
+
+
+def _tree(fps: np.ndarray, most: int) -> tuple[list[tuple[int, int]], int]:
+    """Links of a minimum spanning tree by differing bits, and the place of the row nearest to all."""
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).astype(np.int64)
+    best, via, inside = apart[0].copy(), np.zeros(len(fps), dtype=int), np.zeros(len(fps), dtype=bool)
+    inside[0], links = True, []
+    for _ in range(len(fps) - 1):
+        x = int(np.argmin(np.where(inside, 99, best)))
+        if best[x] <= most:
+            links.append((int(fps[via[x]]), int(fps[x])))
+        inside[x] = True
+        closer = apart[x] < best
+        best[closer], via[closer] = apart[x][closer], x
+    return links, int(np.argmin(apart.sum(axis=1)))
+
+
+def _propose(most: int, chunk: int = 256, hubs: int = 8):
+    """Pairs to look at among the rows (probe, fp) of a partition in probe order.
+
+    Up to eight fingerprints of a probe: all pairs within ``most`` bits. More: the links of
+    a tree of nearest ones. More than a chunk: chunk by chunk, each with the most central
+    rows of the chunks before, so memory is bounded and a crowd costs what it has rows.
+    """
+
+    def few(probe: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+        found = []
+        for k in range(1, 8):
+            i = np.flatnonzero(probe[:-k] == probe[k:]) if len(probe) > k else np.empty(0, dtype=np.int64)
+            if not len(i):
+                break
+            i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= most]
+            found.append(np.stack((fp[i], fp[i + k]), axis=1))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_p, held_f = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        central: list[int] = []  # of the probe that is being read in chunks
+        of = None
+
+        def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.concatenate([np.empty((0, 2), dtype=np.uint64), *found])
+            pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]].view(np.int64), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
+
+        def work(probe: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            nonlocal central, of
+            edge = np.flatnonzero(np.diff(probe)) + 1
+            starts, stops = np.concatenate(([0], edge)), np.concatenate((edge, [len(probe)]))
+            size = stops - starts
+            small = np.repeat(size <= 8, size)
+            if of is not None and probe[0] == of:
+                small[: stops[0]] = False
+            found = few(probe[small], fp[small])
+            for a, b in zip(starts, stops):
+                if small[a]:
+                    continue
+                if probe[a] != of:
+                    central, of = [], probe[a]
+                for at in range(a, b, chunk):
+                    rows = np.concatenate((np.array(central, dtype=np.uint64), fp[at : min(at + chunk, b)]))
+                    links, middle = _tree(rows, most)
+                    if links:
+                        found.append(np.array(links, dtype=np.uint64))
+                    central = list(dict.fromkeys([int(rows[middle]), *central]))[:hubs]
+            return batch(found)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = np.concatenate((held_p, b.column(0).to_numpy()))
+            f = np.concatenate((held_f, b.column(1).to_numpy().view(np.uint64)))
+            cut = int(np.searchsorted(p, p[-1]))  # the last probe may go on in the next batch
+            if len(p) - cut > 4 * chunk:
+                cut = len(p)  # it is a crowd: chunks follow, with what is central so far
+            if cut:
+                yield work(p[:cut], f[:cut])
+            held_p, held_f = p[cut:], f[cut:]
+        if len(held_p):
+            yield work(held_p, held_f)
+
+    return run
+
+
+def _alike(left: str | None, right: str | None, shingle: int, least: float) -> bool:
+    """Whether two texts share ``least`` of their word shingles."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+
+    a, b = shingles(left), shingles(right)
+    return len(a & b) >= least * len(a | b)
+
+
+def similar_groups(
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 14, blocks: int = 3, turned: int = 4, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, group): texts whose ``shingle``-word sets are alike, linked and closed.
+
+    A similarity of 0.8 is up to eleven of 64 bits, too far for anchors at a linear cost.
+    But bits that differ between like texts are those with the closest votes: so each of
+    ``blocks`` blocks is looked up with any of its ``turned`` least certain bits turned (48
+    keys a fingerprint; 2 and 7, with keys of 32 bits, from some ten million texts on).
+    Anchors' own links within two bits are looked at too. What is proposed is decided by
+    the texts themselves; equal fingerprints are one class from the start. ``key`` must be
+    a long that isn't null; equal keys are one document.
+    """
+    every = materialize(probed_fingerprints(docs, key, text, 3, blocks, turned), "fingerprints")
+    classes = materialize(every.groupBy("fp").agg(F.min_by(F.struct("doc_id", "probes"), "doc_id").alias("m")).select("fp", F.col("m.doc_id").alias("least"), "m.probes"), "classes")
+    spread = classes.select(F.explode("probes").alias("probe"), "fp").repartition("probe").sortWithinPartitions("probe", "fp")
+    proposed = spread.mapInArrow(_propose(most), "left long, right long").union(fingerprint_links(classes.select("fp")))
+    pairs = proposed.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
+    of = lambda side: classes.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_id"))
+    named = materialize(pairs.join(of("left"), "left").join(of("right"), "right").select("left_id", "right_id"), "pairs")
+    ids = named.select(F.explode(F.array("left_id", "right_id")).alias("i")).distinct()
+    texts = docs.select(F.col(key).alias("i"), F.col(text).alias("t")).join(ids, "i", "left_semi").dropDuplicates(["i"])
+    texts = materialize(texts, "texts")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([_alike(x.as_py(), y.as_py(), shingle, similarity) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield b.select(["left_id", "right_id"]).filter(keep)
+
+    side = lambda k, t: texts.select(F.col("i").alias(k), F.col("t").alias(t))
+    both = named.join(side("left_id", "a"), "left_id").join(side("right_id", "b"), "right_id").select("left_id", "right_id", "a", "b")
+    linked = connected_components(both.mapInArrow(decide, "left_id long, right_id long"), "left_id", "right_id")
+    led = classes.select("fp", "least").join(linked, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("group"))
+    return every.select(F.col("doc_id").alias(key), "fp").join(led, "fp").select(key, "group")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each group of similar ones: its least id.
 
     Rows that repeat that document's id are repeats of it; one of them stays. A null id
     stands behind a negative number taken from the text.
     """
     spare = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) - F.lit(1 << 62)
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), spare).alias("_key"), F.struct("*").alias("_row"))
-    groups = near_duplicates(named.select("_key", F.col(f"_row.{text}").alias("_text")), threshold, shingle, doc_id="_key", text="_text")
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    groups = similar_groups(named.select("_key", F.col(f"_row.{text}").alias("_text")), similarity, shingle, key="_key", text="_text")
+    keep = groups.where(F.col("_key") == F.col("group")).select(F.col("_key").alias("_keep")).distinct()
     return named.join(keep, F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"]).select("_row.*")

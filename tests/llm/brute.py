@@ -99,3 +99,16 @@ def targets(sizes, weights=(5, 2, 1), cap=3.0):
         if not over:
             return full | {s: rest * w[s] / weight for s in free}
         full |= over
+
+
+def shingles(text, n=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def similar_groups(rows, least=0.8):
+    """rows: (doc_id, text). {doc_id: least id of its group}, by all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    fps = {i: fingerprint(t) for i, t in rows}
+    reach = components(list(sets), lambda a, b: fps[a] == fps[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+    return {i: min(v) for i, v in reach.items()}

@@ -348,6 +348,58 @@ def test_simhash_links(spark, threshold):
         assert found == reach
 
 
+def test_similar_groups(spark):
+    """Near copies of several rates of change, a crowd of them, and texts that only share a passage."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [vocabulary[i] for i in rng.integers(0, 3000, size=n)]
+    passage, rows = text(60), []
+    for g in range(12):
+        base = text(200 + 20 * g)
+        rows.append(base)
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.choice(len(copy), 1 + g // 3, replace=False):
+                copy[at] = f"x{rng.integers(9999)}"
+            rows.append(copy)
+    rows += [text(150) + passage + text(150) for _ in range(20)]
+    crowd = text(400)
+    rows += [[*crowd[:i], f"y{i}", *crowd[i + 1 :]] for i in range(0, 400, 2)]
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)] + [(900, None), (901, ""), (902, "one two"), (903, "ONE two")]
+    want = brute.similar_groups(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for blocks, turned in ((3, 4), (2, 7)):
+        got = {r["doc_id"]: r["group"] for r in simhash.similar_groups(table, blocks=blocks, turned=turned).collect()}
+        assert all(want[i] == want[g] for i, g in got.items())  # nothing else is joined
+        assert len(set(got.values())) <= 1.05 * len(set(want.values()))  # and next to nothing left apart
+    assert got[903] == 902 and got[900] == got[901]
+
+
+def test_crowds_are_read_in_chunks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(1, 2**63))
+    fps = np.array([base] + [base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, size=(5000, 2))], dtype=np.uint64)
+    fps = np.unique(fps)
+    other = rng.integers(0, 2**63, size=3).astype(np.uint64)
+    probe = np.concatenate((np.full(2, 1), np.full(len(fps), 5), np.full(1, 9)))
+    fp = np.concatenate((other[:2], fps, other[2:])).view(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(probe[a : a + 700]), pa.array(fp[a : a + 700])], names=["probe", "fp"]) for a in range(0, len(fp), 700)]
+    pairs = {(a, b) for x in simhash._propose(14)(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, todo = set(), [int(fps.view(np.int64)[0])]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += near.get(x, ())
+    assert seen == set(fps.view(np.int64).tolist()) and len(pairs) <= 2 * len(fps)
+
+
 # -- 9 -------------------------------------------------------------------------------
 
 

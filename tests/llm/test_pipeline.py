@@ -23,8 +23,9 @@ def test_stages(spark, sf_dir):
                 want = brute.dedup_lines([(i, t) for i, t, _ in before])
                 assert after == sorted((i, want[i][0], s) for i, _, s in before)
             elif n == 8:
-                want = brute.simhash_groups([(i, t) for i, t, _ in before])
-                assert after == sorted(r for r in before if want[r[0]] == r[0])
+                want = brute.similar_groups([(i, t) for i, t, _ in before])
+                assert set(r for r in before if want[r[0]] == r[0]) <= set(after) <= set(before)
+                assert len(after) <= 1.01 * len(set(want.values()))
             else:
                 counts = {}
                 for r in after:
