@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.core import lookup
+from newsloom.functions.core import let, lookup
 from newsloom.functions.fixed import GENERIC_TWO_LETTER, ISO2_TO_FIPS, STOPWORDS, TLD_COUNTRIES, TRACKING_PARAMS
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -26,22 +26,37 @@ def _quoted(part: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """One spelling per page: lower scheme and host, no ``www.``, user, port, fragment or
-    tracking parameters, query re-encoded, no slash at the end."""
-    clean = F.translate(F.trim(url), "\t\r\n", "")
-    part = lambda i: F.regexp_extract(clean, _PARTS, i)
-    host = url_domain(clean)
-    name = lambda p: F.lower(_decoded_name(p))
-    kept = F.filter(
-        F.split(part(4), "&"),
-        lambda p: (p != "") & ~F.startswith(name(p), F.lit("utm_")) & ~name(p).isin(*TRACKING_PARAMS),
-    )
-    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substr(p, F.locate("=", p) + 1)).otherwise(F.lit(""))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(_quoted(F.substring_index(p, "=", 1)), F.lit("="), _quoted(value(p)))), "&")
-    path = F.when(part(3) == "", F.lit("/")).otherwise(F.when(F.length(part(3)) > 1, F.regexp_replace(part(3), "/+$", "")).otherwise(part(3)))
-    rooted = F.when((host != "") & (path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
-    scheme = F.when(part(1) == "", F.lit("http")).otherwise(F.lower(part(1)))
-    slashes = F.when((host != "") | F.startswith(path, F.lit("/")), F.lit("//")).otherwise(F.lit(""))
-    return F.concat(scheme, F.lit(":"), slashes, host, rooted, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    tracking parameters, query re-encoded, no slash at the end.
+
+    Each part is cut out once and bound, as later ones name it several times.
+    """
+
+    def parts(clean: Column) -> Column:
+        part = lambda i: F.regexp_extract(clean, _PARTS, i)
+        return F.struct(F.lower(part(1)).alias("scheme"), url_domain(clean).alias("host"), part(3).alias("path"), _kept_query(part(4)).alias("query"))
+
+    def rooted(p: Column) -> Column:
+        bare = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/+$", "")).otherwise(p["path"])
+        path = F.when(p["path"] == "", F.lit("/")).when((p["host"] != "") & (bare != "") & ~F.startswith(bare, F.lit("/")), F.concat(F.lit("/"), bare)).otherwise(bare)
+        return let(path, lambda x: written(p, x))
+
+    def written(p: Column, path: Column) -> Column:
+        scheme = F.when(p["scheme"] == "", F.lit("http")).otherwise(p["scheme"])
+        slashes = F.when((p["host"] != "") | F.startswith(path, F.lit("/")), F.lit("//")).otherwise(F.lit(""))
+        return F.concat(scheme, F.lit(":"), slashes, p["host"], path, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")))
+
+    return let(F.translate(F.trim(url), "\t\r\n", ""), lambda clean: let(parts(clean), rooted))
+
+
+def _kept_query(query: Column) -> Column:
+    def keeps(pair: Column) -> Column:
+        return (pair != "") & let(F.lower(_decoded_name(pair)), lambda n: ~F.startswith(n, F.lit("utm_")) & ~n.isin(*TRACKING_PARAMS))
+
+    def again(pair: Column) -> Column:
+        value = F.when(F.contains(pair, F.lit("=")), F.substr(pair, F.locate("=", pair) + 1)).otherwise(F.lit(""))
+        return F.concat(_quoted(F.substring_index(pair, "=", 1)), F.lit("="), _quoted(value))
+
+    return F.array_join(F.transform(F.filter(F.split(query, "&"), keeps), again), "&")
 
 
 def _decoded_name(pair: Column) -> Column:

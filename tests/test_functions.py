@@ -11,7 +11,7 @@ from newsloom.functions.fixed import EVENT_COLUMNS, GKG_COLUMNS, MENTION_COLUMNS
 
 URLS = [
     "HTTPS://WWW.Example.com:8080/A/b/?utm_source=x&b=2&a=1&UTM_medium=q#frag", "http://user:pw@example.com", "http://example.com/?q=a+b%20c&empty=&flag", "http://example.com/path///", "  http://example.com/x?ref=1  ",
-    "https://m.example.org/en/1.html?page=2&ref=x", "http://example.com/a?x=%E9%C3%A9&y=~*", "http://EXAMPLE.com/?fbclid=1", "http://example.com/a%20b?c=%2F", "ftp://example.com/f", "http://ex.com/?a=1&&b=2", "http://ex.com/a;b?c=d;e",
+    "https://m.example.org/en/1.html?page=2&ref=x", "http://example.com/a?x=%E9%C3%A9&y=~*", "http://EXAMPLE.com/?fbclid=1", "http://example.com/a%20b?c=%2F", "ftp://example.com/f", "http://ex.com/?a=1&&b=2", "http://example.com//", "example.com/no/scheme/", "mailto:a@b.c", "http://ex.com/a;b?c=d;e",
 ]
 
 
