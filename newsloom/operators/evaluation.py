@@ -79,7 +79,9 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def ceaf_e(rows: DataFrame, gold: str = "gold", pred: str = "pred", most: int = 5000) -> dict[str, float]:
     """CEAF with entity similarity. Labelled samples are small; more clusters than ``most`` are refused."""
-    found = contingency(rows, gold, pred).limit(most * 50).collect()
+    found = contingency(rows, gold, pred).limit(most * 50 + 1).collect()
+    if len(found) > most * 50:
+        raise ValueError(f"over {most * 50} cells of labels by clusters are not for the driver")
     gs, ps = sorted({r["gold"] for r in found}), sorted({r["pred"] for r in found})
     if max(len(gs), len(ps), 1) > most:
         raise ValueError(f"an exact matching of over {most} clusters is not for the driver")

@@ -61,7 +61,7 @@ def background(rows: DataFrame, group: str, vector: str = "vector", key: str = "
     sizes = kept.select(F.col(group).alias("group_right"), F.col("n").alias("nr"))
     right = drawn.join(kept, group).select(F.col(group).alias("group_right"), F.col(key).alias("kr"), F.col(vector).alias("vr"), F.col("r").alias("rr"))
     pairs = (
-        left.join(F.broadcast(sizes), F.col("group_left") <= F.col("group_right"))  # one row a group of 500 or more
+        left.join(sizes, F.col("group_left") <= F.col("group_right"))  # every pair of groups, a row a group of ``least`` or more
         .withColumn("rr", ((F.col("rl") + F.col("s") - 1) % F.col("nr") + 1).cast("int"))
         .join(right, ["group_right", "rr"]).where("kl <> kr")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text, times, urls
 from newsloom.operators import attention, evaluation, families, filters, partition, ranking, responses, similarity, vectors
 from newsloom.operators.components import connected_components
-from newsloom.plans import explorer, ingest, search, serving
+from newsloom.plans import explorer, ingest, prototypes, search, serving
 from newsloom.plans.cutpoint import materialize
 
 QUERIES: dict = {}
@@ -114,6 +114,16 @@ def country_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"WITH {_DOCS},{_country_sql('event_type')} SELECT event_type, publisher_country, onset, world_onset, round(lag_hours, 6) AS lag_hours, suppressed FROM summary")
+def onset_by_type_user_group(spark: SparkSession, d: str) -> DataFrame:
+    return _countries(spark, d)[1].select("event_type", "publisher_country", _time("onset"), _time("world_onset"), _r("lag_hours").alias("lag_hours"), "suppressed")
+
+
+@query(f"WITH {_DOCS},{_country_sql('event_type')} SELECT event_type, publisher_country, round(effective_share, 6) AS effective_share, round(world_effective_share, 6) AS world_effective_share, round(attention_ratio, 6) AS attention_ratio FROM summary")
+def attention_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return _countries(spark, d)[1].select("event_type", "publisher_country", *[_r(c).alias(c) for c in ("effective_share", "world_effective_share", "attention_ratio")])
+
+
 @query(f"WITH {_DOCS},{_country_sql('event_type')} SELECT * REPLACE (round(raw_share, 6) AS raw_share) FROM hourly")
 def hourly_attention(spark: SparkSession, d: str) -> DataFrame:
     return _countries(spark, d)[0].withColumns({"time_bucket": _time("time_bucket"), "raw_share": _r("raw_share")})
@@ -372,7 +382,7 @@ def families_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT l_suppkey AS cluster, l_orderkey AS document_id, CASE WHEN regexp_matches(p_type, '^STANDARD') THEN 'plain' WHEN regexp_matches(p_type, '^PROMO') THEN 'offer' WHEN regexp_matches(p_type, '^SMALL|^MEDIUM|^LARGE') THEN 'sized' END AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
 s AS (SELECT l_suppkey AS cluster, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), h AS (SELECT cluster, type, count(DISTINCT document_id) / any_value(n) AS share FROM t JOIN s USING (cluster) WHERE type IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY share DESC, type) AS r FROM h WHERE share >= 0.1) SELECT cluster, string_agg(type, '|' ORDER BY r) AS event_types, round(sum(share), 6) AS share FROM r WHERE r <= 3 GROUP BY 1""")
-def rule_types(spark: SparkSession, d: str) -> DataFrame:
+def event_types(spark: SparkSession, d: str) -> DataFrame:
     """Type shares by a rule table, as for themes: the best three of each cluster."""
     t = F.col("p_type")
     kind = F.when(t.rlike("^STANDARD"), "plain").when(t.rlike("^PROMO"), "offer").when(t.rlike("^SMALL|^MEDIUM|^LARGE"), "sized")
@@ -606,6 +616,39 @@ def document_evidence(spark: SparkSession, d: str) -> DataFrame:
     return partition.evidence(_graph(spark, d), members, ["gated"]).withColumn("gated", _r("gated"))
 
 
+@query(f"WITH RECURSIVE {_GRAPH}, n AS (SELECT component, count(*) AS n FROM comp GROUP BY 1) SELECT n AS size, sum(count(*)) OVER (ORDER BY n DESC)::BIGINT AS at_least, round(sum(count(*)) OVER (ORDER BY n DESC) / sum(count(*)) OVER (), 6) AS share FROM n GROUP BY n")
+def survival_curve(spark: SparkSession, d: str) -> DataFrame:
+    sizes = connected_components(_graph(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
+    return evaluation.survival(sizes).withColumn("share", _r("share"))
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, n AS (SELECT component, count(*) AS n FROM comp GROUP BY 1), s AS (SELECT count(*) AS clusters, max(n) AS largest, sum(n)::BIGINT AS assigned, median(n) AS middle FROM n)
+SELECT clusters, largest, assigned, (SELECT count(*) FROM v) AS articles, (SELECT count(*) FROM v) - assigned AS unassigned, round(largest / assigned, 6) AS largest_share, middle FROM s""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    own = connected_components(_graph(spark, d)).select(F.col("node").alias("id"), "component")
+    members = _vec(spark, d).select("id").join(own, "id", "left").select(F.coalesce("component", F.lit(-1)).alias("cluster"))
+    return evaluation.run_summary(members).select("clusters", "largest", "assigned", "articles", "unassigned", _r("largest_share").alias("largest_share"), F.col("size_quantiles")[2].alias("middle"))
+
+
+@query("""WITH tf AS (SELECT l_suppkey AS node, l_partkey AS feature, 1 + ln(count(*)) AS tf FROM lineitem GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM supplier),
+df AS (SELECT feature, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT node, feature, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (feature), n WHERE df >= 2 AND df <= 0.5 * n),
+l AS (SELECT node, feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY node)), 9) AS w FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, feature) AS r FROM l)
+SELECT node, string_agg(feature::VARCHAR, '|' ORDER BY r) AS terms, round(max(w), 6) AS heaviest FROM r WHERE r <= 8 GROUP BY 1""")
+def entity_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """Sublinear weights of the first generation: suppliers by their parts, the eight heaviest."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("feature"))
+    w = prototypes.entity_weights(rows, _t(spark, d, "supplier"), 2, 0.5).withColumn("weight", F.round("weight", 9))
+    top = ranking.gathered(ranking.top_per_key(w, ["node"], [F.desc("weight"), "feature"], 8, "r"), ["node"], F.struct("feature", "weight"), "t")
+    return top.select("node", _joined(F.col("t.feature")).alias("terms"), _r(F.array_max("t.weight")).alias("heaviest"))
+
+
+@query(rf"""WITH {_CANON} SELECT page_id, CASE WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'OR' WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'CO' END AS country FROM canon
+WHERE host = 'example.org' OR ends_with(host, '.example.org') OR host = 'example.com' OR ends_with(host, '.example.com')""")
+def outlet_countries(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "pages").select("page_id", urls.url_domain(F.col("url")).alias("source"))
+    return prototypes.outlets(p, {"example.org": "OR", "example.com": "CO"}).select("page_id", "country")
+
+
 # ---------------------------------------------------------------- evaluation
 
 _EVAL = f"{_GRAPH}, lab AS (SELECT v.id, label AS gold, coalesce(component, -v.id - 2) AS pred FROM v LEFT JOIN comp ON node = v.id), n AS (SELECT gold, pred, count(*) AS n FROM lab GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY gold) AS g, sum(n) OVER (PARTITION BY pred) AS p FROM n)"
