@@ -9,7 +9,8 @@ from newsloom.plans.cutpoint import materialize, release
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return edges.select(ways.alias("w")).select("w.u", "w.v")
 
 
 def _beside_least(pairs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.operators.components import connected_components
+from newsloom.operators.similarity import both_ways
 from newsloom.plans.cutpoint import materialize
 
 
@@ -136,9 +137,7 @@ def quality(edges: DataFrame, labels: DataFrame, resolution: float, weight: str
 
 def _spread_moving(edges: DataFrame, resolution: float, rounds: int, total: float | None) -> DataFrame:
     """Parallel local moving: half of the nodes, by a hash of node and round, may move at once."""
-    both = materialize(
-        edges.select(F.col("left").alias("x"), F.col("right").alias("y"), "weight").unionByName(edges.select(F.col("right").alias("x"), F.col("left").alias("y"), "weight")), "both"
-    )
+    both = materialize(both_ways(edges.select("left", "right", "weight"), source="x", target="y"), "both")
     mass = both.groupBy("x").agg((F.lit(1.0) if total is None else F.sum("weight")).alias("m"))
     cost = resolution if total is None else resolution / (2 * total)
     at = materialize(mass.select("x", "m", F.col("x").alias("c")), "labels")
@@ -197,8 +196,7 @@ def incidents(documents: DataFrame, communities_: DataFrame, document: str = "do
 def memberships(edges: DataFrame, incident: DataFrame, least: float = 0.25, weight: str = "gated") -> DataFrame:
     """(document_id, incident_id, assignment_score, is_primary): the own incident, and others
     that hold ``least`` or more of a document's edge weight."""
-    there = edges.select(F.col("left").alias("document_id"), F.col("right").alias("other"), F.col(weight).alias("w"))
-    both = there.unionByName(edges.select(F.col("right").alias("document_id"), F.col("left").alias("other"), F.col(weight).alias("w")))
+    both = both_ways(edges.select("left", "right", F.col(weight).alias("w")), source="document_id", target="other")
     of = both.join(incident.select(F.col("document_id").alias("other"), "incident_id"), "other")
     per = of.groupBy("document_id", "incident_id").agg(F.sum("w").alias("w"))
     shares = per.withColumn("assignment_score", F.col("w") / F.sum("w").over(W.partitionBy("document_id"))).where("incident_id >= 0")
@@ -218,8 +216,7 @@ def evidence(pairs: DataFrame, members: DataFrame, columns: list[str], supportin
     """Per document its strongest edges inside its incident and the strongest one out of it."""
     have = [F.col(c) if c in pairs.columns else F.lit(0.0).alias(c) for c in columns]
     kept = pairs.where("gated > 0").select("left", "right", *have)
-    ends = {"left": "document_id", "right": "neighbor_document_id"}
-    directed = kept.withColumnsRenamed(ends).unionByName(kept.withColumnsRenamed({"right": "document_id", "left": "neighbor_document_id"}))
+    directed = both_ways(kept, source="document_id", target="neighbor_document_id")
     own = members.where("is_primary").select("document_id", "incident_id")
     other = own.withColumnsRenamed({"document_id": "neighbor_document_id", "incident_id": "neighbor_incident_id"})
     order = W.partitionBy("document_id", "same_incident").orderBy(F.desc("gated"), "neighbor_document_id")

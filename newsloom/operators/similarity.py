@@ -66,10 +66,11 @@ def cosine_pairs(weights: DataFrame, node: str = "node", feature: str = "feature
 
 
 def both_ways(pairs: DataFrame, a: str = "left", b: str = "right", source: str = "node", target: str = "neighbor") -> DataFrame:
-    """Undirected pairs as two directed rows each."""
+    """Undirected pairs as two directed rows each, in one pass over what makes them."""
     rest = [c for c in pairs.columns if c not in (a, b)]
-    there = pairs.select(F.col(a).alias(source), F.col(b).alias(target), *rest)
-    return there.unionByName(pairs.select(F.col(b).alias(source), F.col(a).alias(target), *rest))
+    way = lambda x, y: F.struct(F.col(x).alias("s"), F.col(y).alias("t"))
+    turned = pairs.select(F.explode(F.array(way(a, b), way(b, a))).alias("_way"), *rest)
+    return turned.select(F.col("_way.s").alias(source), F.col("_way.t").alias(target), *rest)
 
 
 def nearest(pairs: DataFrame, k: int = 30, digits: int | None = None) -> DataFrame:

@@ -448,7 +448,7 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    weights = similarity.tfidf(_bipartite(spark, d), _t(spark, d, "orders"))
+    weights = materialize(similarity.tfidf(_bipartite(spark, d), _t(spark, d, "orders")), "weights")  # both sides of the join
     return similarity.nearest(similarity.cosine_pairs(weights), 5, 9)
 
 

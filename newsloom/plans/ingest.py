@@ -14,7 +14,7 @@ from newsloom.functions.urls import canonical_url, fips_of_tld, parent_domains,
 from newsloom.operators.ranking import first_per_key, mode_per_key
 from newsloom.sources import raw
 
-#: How a domain's country was found, and how sure that is.
+# -- fixed values: how a domain's country was found, and how sure that is --------------
 EXACT, PARENT, ENDING, UNRESOLVED = ("gdelt_lookup", 0.9), ("gdelt_lookup_parent", 0.7), ("cctld", 0.5), ("unresolved", 0.0)
 
 
