@@ -75,11 +75,32 @@ def calibrated(cosine: Column, quantile: Column) -> Column:
     return clip((clip(cosine, 0.0, 1.0) - q) / (1 - q), 0.0, 1.0)
 
 
-def pair_background(rows: DataFrame, group: str, vector: str = "vector", key: str = "id", q: float = 0.9) -> DataFrame:
-    """The same over all pairs, for small tables."""
-    a = rows.select(F.col(group).alias("group_left"), F.col(key).alias("kl"), F.col(vector).alias("vl"))
-    b = rows.select(F.col(group).alias("group_right"), F.col(key).alias("kr"), F.col(vector).alias("vr"))
-    cos = a.join(b, (F.col("group_left") <= F.col("group_right")) & (F.col("kl") != F.col("kr"))).select("group_left", "group_right", dot(F.col("vl"), F.col("vr")).alias("c"))
+def pair_background(rows: DataFrame, group: str, vector: str = "vector", key: str = "id", q: float = 0.9, block: int = 1024) -> DataFrame:
+    """The same over all pairs, without a sample or a least size: every block of rows meets
+    every block in a task of its own, quadratic work. Also the number of pairs."""
+    own = materialize(rows.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("g").isNotNull()), "vectors")
+    kind = own.schema["g"].dataType.simpleString()
+    blocks = max(1, -(-own.count() // block))
+    numbered = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = numbered.select(F.col("b").alias("lb"), every.alias("rb"), "g", "id", "v")
+    right = numbered.select(every.alias("lb"), F.col("b").alias("rb"), F.col("g").alias("g"), *_again())
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [pa.table({"group_left": pa.array([], a.schema.field("g").type), "group_right": pa.array([], a.schema.field("g").type), "c": pa.array([], pa.float64())})]
+        if len(a) and len(b):
+            (ai, av), (bi, bv) = _matrix(a), _matrix(b)
+            ag, bg = (np.array(t.column("g").to_pylist(), dtype=object) for t in (a, b))
+            for x in set(ag):
+                for y in set(bg):
+                    if x <= y:
+                        i, j = ag == x, bg == y
+                        cos = (av[i] @ bv[j].T)[ai[i][:, None] != bi[j][None]]
+                        names = [pa.repeat(pa.scalar(z, a.schema.field("g").type), len(cos)) for z in (x, y)]
+                        out.append(pa.table({"group_left": names[0], "group_right": names[1], "c": pa.array(cos, pa.float64())}))
+        return pa.concat_tables(out)
+
+    cos = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(compare, f"group_left {kind}, group_right {kind}, c double")
     return cos.groupBy("group_left", "group_right").agg(clip(F.percentile("c", q), 0.0, 0.99).alias("quantile"), F.count("*").alias("pairs"))
 
 

@@ -540,6 +540,12 @@ def background_quantile(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("group_left", "group_right").agg(_r(vectors.clip(q, 0.0, 0.99)).alias("quantile"), F.count("*").alias("pairs"))
 
 
+@query(f"WITH {_VEC} SELECT a.label AS group_left, b.label AS group_right, round(least(greatest(quantile_cont(list_dot_product(a.vector, b.vector), 0.9), 0.0), 0.99), 6) AS quantile, count(*) AS pairs FROM v a JOIN v b ON a.label <= b.label AND a.id <> b.id GROUP BY 1, 2")
+def background_quantile_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all pairs of rows of every two labels."""
+    return vectors.pair_background(_vec(spark, d), "label").withColumn("quantile", _r("quantile"))
+
+
 _KNN = f"""{_VEC}, pairs AS (SELECT a.id AS node, b.id AS neighbor, list_dot_product(a.vector, b.vector) AS cosine FROM v a JOIN v b ON a.id <> b.id WHERE list_dot_product(a.vector, b.vector) >= 0.35),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, neighbor) AS rank FROM pairs) WHERE rank <= 5)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import attention, evaluation, families, filters, partition, ranking, responses, similarity, vectors
 from newsloom.operators.components import connected_components
+from newsloom.plans import catalogue
 
 
 def frame(spark, rows, schema):
@@ -154,6 +155,22 @@ def test_vectors(spark):
     assert abs(r["title_coherence"] - sims.mean()) < 1e-9 and r["title"] == f"t{np.argmax(sims)}"
 
 
+def test_background_over_all_pairs(spark, sf_dir):
+    """Every pair of labels has its quantile over all pairs of rows, in blocks of any size."""
+    plain = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    v, label = np.array([r["embedding"] for r in plain], dtype=float), np.array([r["label"] for r in plain])
+    cos, apart = v @ v.T, ~np.eye(len(v), dtype=bool)
+    want = {}
+    for x, y in itertools.combinations_with_replacement(sorted(set(label.tolist())), 2):
+        c = cos[np.ix_(label == x, label == y)][apart[np.ix_(label == x, label == y)]]
+        if len(c):
+            want[x, y] = (len(c), float(np.clip(np.quantile(c, 0.9), 0, 0.99)))
+    rows = frame(spark, [(r["vec_id"], r["label"], [float(x) for x in r["embedding"]]) for r in plain], "id long, label long, vector array<double>")
+    for got in (catalogue.QUERIES["background_quantile_all"](spark, sf_dir), vectors.pair_background(rows, "label", block=17)):
+        found = {(r["group_left"], r["group_right"]): (r["pairs"], r["quantile"]) for r in got.collect()}
+        assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-5 for k in want)
+
+
 def test_cells(spark):
     """Above the exact limit most true neighbours are still found, in blocks of any size."""
     rng = np.random.default_rng(8)
