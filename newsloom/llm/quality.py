@@ -1,12 +1,16 @@
 """Quality rules by cross-document line frequency.
 
-Normalised lines are hashed and every host's documents are counted per line. Lines found
-in more of a host's documents than the limits allow are removed, and documents that this
+Normalised lines are hashed and every host's different documents are counted per line.
+Lines found in more of them than the limits allow are removed, and documents that this
 depletes are rejected, besides those that fail rules on their own text.
 
+Documents of one host with the same set of normalised lines are copies of one and count
+once, for the line as for the host: a group of copies, however large, makes none of its
+own lines frequent, and one of them is left to the near-duplicate stage.
+
 Only DataFrame functions run here. A document counts once per line (duplicates go inside
-the row), counts combine on the map side, so neither a common line nor a host with a third
-of all rows meets in one task. Only frequent lines come back to the documents, from a
+the row), copies and counts combine on the map side, so neither a common line nor a host
+with a third of all rows meets in one task. Only frequent lines come back to the documents, from a
 written table whose size decides between broadcast and a shuffled join that Spark may
 split. The repeated-word count sorts window hashes inside the row: n log n in its words.
 
@@ -28,7 +32,7 @@ from newsloom.llm.common import NOT_SPACE, SPACE, let, materialize, n_words, wor
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes if over ``documents`` and over ``share`` of its host's documents have it."""
+    """A line goes if over ``documents`` and over ``share`` of its host's different documents have it."""
 
     documents: int = 20
     share: float = 0.05
@@ -91,10 +95,13 @@ def _line_hashes(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits(), text: str = "text", host: str = "source") -> DataFrame:
-    """(host, hash, documents): the lines above the limits, as a written table."""
-    once = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(_line_hashes(F.col(text)), lambda s: s["hash"]))).alias("hash"))
-    of_host = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("of_host"))
-    counted = once.groupBy("host", "hash").agg(F.count("*").alias("documents")).where(F.col("documents") > limits.documents)
+    """(host, hash, documents): the lines above the limits, with the number of different
+    documents that have them, as a written table."""
+    lines = F.array_sort(F.array_distinct(F.transform(_line_hashes(F.col(text)), lambda s: s["hash"])))
+    different = docs.select(F.col(host).alias("host"), lines.alias("lines")).withColumn("digest", F.xxhash64("lines")).dropDuplicates(["host", "digest"])
+    different = materialize(different.select("host", "lines"), "different-documents")
+    of_host = different.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("of_host"))
+    counted = different.select("host", F.explode("lines").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("documents")).where(F.col("documents") > limits.documents)
     over = counted.join(of_host, F.col("host").eqNullSafe(F.col("h"))).where(F.col("documents") > limits.share * F.col("of_host"))
     return materialize(over.select("host", "hash", "documents"), "frequent-lines")
 

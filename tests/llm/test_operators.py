@@ -305,6 +305,20 @@ def test_quality(spark, odd, none):
     assert quality.clean(odd).columns == odd.columns
 
 
+def test_quality_counts_copies_once(spark):
+    """A group of copies depletes none of its own; a line of many different documents goes."""
+    clean = "\n".join(" ".join(f"c{i}x{j}" for j in range(12)) for i in range(6))
+    shown = lambda i: clean if i % 2 else "  " + clean.upper().replace(" ", "  ")
+    own = lambda i: "\n".join(" ".join(f"o{i}x{j}x{k}" for k in range(12)) for j in range(6))
+    rows = [(i, shown(i), "hot") for i in range(200)] + [(1000 + i, own(i) + ("\nfollow us" if i < 30 else ""), "hot") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(r["kept"] for r in got.values())
+    assert {i for i, r in got.items() if r["removed_words"]} == set(range(1000, 1030))
+    assert {r["documents"] for r in quality.frequent_lines(docs).collect()} == {30}
+    assert quality.clean(docs).count() == 400
+
+
 # -- 8 -------------------------------------------------------------------------------
 
 
