@@ -146,16 +146,16 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(F.desc("cosine"), "neighbor"))).where(F.col("rank") <= k)
 
 
-def knn(rows: DataFrame, k: int = 30, least: float = 0.35, key: str = "id", vector: str = "vector", block: int = 4096, exact_below: int = 200_000) -> DataFrame:
+def knn(rows: DataFrame, k: int = 30, least: float = 0.35, key: str = "id", vector: str = "vector", block: int = 4096, exact_below: int | None = None) -> DataFrame:
     """(node, neighbor, cosine, rank): neighbours of unit vectors, ties to smaller ids.
 
-    Up to ``exact_below`` rows, every block of queries meets every block of candidates in
-    a task of its own: exact, quadratic work, two blocks of memory a task. Beyond, rows
-    are compared within cells near them (``cell_neighbours``).
+    Every block of queries meets every block of candidates in a task of its own: exact,
+    quadratic work, two blocks of memory a task. Only who asks for it by ``exact_below``
+    gets, above that number of rows, approximate neighbours (``cell_neighbours``).
     """
     own = _rows(rows, key, vector)
     n = own.count()
-    if n > exact_below:
+    if exact_below is not None and n > exact_below:
         return _best(cell_neighbours(own, n, k, least, block), k)
     blocks = max(1, -(-n // block))
     numbered = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from newsloom.operators import attention, evaluation, families, filters, partition, ranking, responses, similarity, vectors
 from newsloom.operators.components import connected_components
@@ -171,6 +172,23 @@ def test_background_over_all_pairs(spark, sf_dir):
         assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-5 for k in want)
 
 
+def test_knn_is_exact_at_every_size(spark, monkeypatch):
+    """The registered queries' neighbours never come from cells, however many rows there are."""
+    monkeypatch.setattr(vectors, "cell_neighbours", lambda *a, **k: pytest.fail("approximate"))
+    count = DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda self: count(self) * 10_000)  # many small blocks, as a large table has
+    v = np.random.default_rng(9).normal(size=(40, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = frame(spark, [(i, v[i].tolist()) for i in range(40)], "id long, vector array<double>")
+    got = {}
+    for r in vectors.knn(rows, 3, -1.0).collect():
+        got.setdefault(r["node"], {})[r["rank"]] = r["neighbor"]
+    for i in range(40):
+        s = v @ v[i]
+        s[i] = -9
+        assert [got[i][k] for k in (1, 2, 3)] == np.argsort(-s, kind="stable")[:3].tolist()
+
+
 def test_cells(spark):
     """Above the exact limit most true neighbours are still found, in blocks of any size."""
     rng = np.random.default_rng(8)
