@@ -226,17 +226,24 @@ def _probes(votes: np.ndarray, blocks: int, turned: int) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(np.int64)
 
 
+def _digest(text: str | None) -> bytes:
+    """Equal for texts of the same words in the same order, in either case."""
+    return xxhash.xxh128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), _SEED)
+
+
 def probed_fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = 3, blocks: int = 3, turned: int = 4) -> DataFrame:
-    """(doc_id, fp, probes)."""
+    """(doc_id, fp, probes, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                votes = np.stack([_votes(t.as_py(), shingle) for t in b.column(1)])
+                texts = [t.as_py() for t in b.column(1)]
+                votes = np.stack([_votes(t, shingle) for t in texts])
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(_probes(votes, blocks, turned).ravel()), blocks << turned).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack(votes).view(np.int64)), keys], names=["doc_id", "fp", "probes"])
+                digests = pa.array([_digest(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack(votes).view(np.int64)), keys, digests], names=["doc_id", "fp", "probes", "digest"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, probes array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, probes array<long>, digest binary")
 
 
 def _tree(fps: np.ndarray, most: int) -> tuple[list[tuple[int, int]], int]:
@@ -332,6 +339,23 @@ def _alike(left: str | None, right: str | None, shingle: int, least: float) -> b
     return len(a & b) >= least * len(a | b)
 
 
+def _decided(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The (left_id, right_id) among ``pairs`` whose texts are alike, as a written table."""
+    named = materialize(pairs, "pairs")
+    ids = named.select(F.explode(F.array("left_id", "right_id")).alias("i")).distinct()
+    texts = docs.select(F.col(key).alias("i"), F.col(text).alias("t")).join(ids, "i", "left_semi").dropDuplicates(["i"])
+    texts = materialize(texts, "texts")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([_alike(x.as_py(), y.as_py(), shingle, similarity) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield b.select(["left_id", "right_id"]).filter(keep)
+
+    side = lambda k, t: texts.select(F.col("i").alias(k), F.col("t").alias(t))
+    both = named.join(side("left_id", "a"), "left_id").join(side("right_id", "b"), "right_id").select("left_id", "right_id", "a", "b")
+    return materialize(both.mapInArrow(decide, "left_id long, right_id long"), "alike")
+
+
 def similar_groups(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 14, blocks: int = 3, turned: int = 4, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -341,31 +365,23 @@ def similar_groups(
     But bits that differ between like texts are those with the closest votes: so each of
     ``blocks`` blocks is looked up with any of its ``turned`` least certain bits turned (48
     keys a fingerprint; 2 and 7, with keys of 32 bits, from some ten million texts on).
-    Anchors' own links within two bits are looked at too. What is proposed is decided by
-    the texts themselves; equal fingerprints are one class from the start. ``key`` must be
-    a long that isn't null; equal keys are one document.
+    Anchors' own links within two bits are looked at too, and so are different texts of one
+    fingerprint. What is proposed is decided by the texts themselves; only texts of the same
+    words are one class from the start. ``key`` must be a long that isn't null; equal keys
+    are one document.
     """
     every = materialize(probed_fingerprints(docs, key, text, 3, blocks, turned), "fingerprints")
-    classes = materialize(every.groupBy("fp").agg(F.min_by(F.struct("doc_id", "probes"), "doc_id").alias("m")).select("fp", F.col("m.doc_id").alias("least"), "m.probes"), "classes")
-    spread = classes.select(F.explode("probes").alias("probe"), "fp").repartition("probe").sortWithinPartitions("probe", "fp")
-    proposed = spread.mapInArrow(_propose(most), "left long, right long").union(fingerprint_links(classes.select("fp")))
+    classes = materialize(every.groupBy("digest").agg(F.min_by(F.struct("doc_id", "fp", "probes"), "doc_id").alias("m")).select("digest", F.col("m.doc_id").alias("id"), "m.fp", "m.probes"), "classes")
+    leads = materialize(classes.groupBy("fp").agg(F.min_by(F.struct("id", "probes"), "id").alias("m")).select("fp", F.col("m.id").alias("least"), "m.probes"), "leads")
+    spread = leads.select(F.explode("probes").alias("probe"), "fp").repartition("probe").sortWithinPartitions("probe", "fp")
+    proposed = spread.mapInArrow(_propose(most), "left long, right long").union(fingerprint_links(leads.select("fp")))
     pairs = proposed.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
-    of = lambda side: classes.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_id"))
-    named = materialize(pairs.join(of("left"), "left").join(of("right"), "right").select("left_id", "right_id"), "pairs")
-    ids = named.select(F.explode(F.array("left_id", "right_id")).alias("i")).distinct()
-    texts = docs.select(F.col(key).alias("i"), F.col(text).alias("t")).join(ids, "i", "left_semi").dropDuplicates(["i"])
-    texts = materialize(texts, "texts")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = pa.array([_alike(x.as_py(), y.as_py(), shingle, similarity) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
-            yield b.select(["left_id", "right_id"]).filter(keep)
-
-    side = lambda k, t: texts.select(F.col("i").alias(k), F.col("t").alias(t))
-    both = named.join(side("left_id", "a"), "left_id").join(side("right_id", "b"), "right_id").select("left_id", "right_id", "a", "b")
-    linked = connected_components(both.mapInArrow(decide, "left_id long, right_id long"), "left_id", "right_id")
-    led = classes.select("fp", "least").join(linked, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("group"))
-    return every.select(F.col("doc_id").alias(key), "fp").join(led, "fp").select(key, "group")
+    of = lambda side: leads.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_id"))
+    same = classes.join(leads.select("fp", "least"), "fp").where("id <> least").select(F.col("least").alias("left_id"), F.col("id").alias("right_id"))
+    named = pairs.join(of("left"), "left").join(of("right"), "right").select("left_id", "right_id").union(same)
+    linked = connected_components(_decided(docs, named, key, text, shingle, similarity), "left_id", "right_id")
+    led = classes.select("digest", "id").join(linked, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("group"))
+    return every.select(F.col("doc_id").alias(key), "digest").join(led, "digest").select(key, "group")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

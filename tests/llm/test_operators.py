@@ -389,6 +389,16 @@ def test_similar_groups(spark):
     assert got[903] == 902 and got[900] == got[901]
 
 
+def test_equal_fingerprints_are_not_equal_texts(spark):
+    """A repeated filler word rules the votes: different texts of one fingerprint all stay."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join([f"w{x}" for x in rng.integers(0, 10**6, size=165)] + ["-"] * 135)) for i in range(30)]
+    assert len({simhash.fingerprint(t) for _, t in rows}) < 5
+    rows += [(100 + i, t.upper().replace(" ", "  ")) for i, t in rows]
+    groups = {r["doc_id"]: r["group"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert groups == {i: i % 100 for i, _ in rows}
+
+
 def test_crowds_are_read_in_chunks():
     import pyarrow as pa
 
