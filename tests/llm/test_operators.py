@@ -399,6 +399,36 @@ def test_equal_fingerprints_are_not_equal_texts(spark):
     assert groups == {i: i % 100 for i, _ in rows}
 
 
+def test_similar_groups_lose_no_pair(spark):
+    """Different documents on one template, each with a near copy; pairs just above the threshold."""
+    rng = np.random.default_rng(6)
+    template = [f"t{i}" for i in range(300)]
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, size=n)]
+    rows = []
+    for _ in range(400):
+        own = template[:100] + fresh(50) + template[100:]
+        copy = list(own)
+        for at in rng.choice(350, 6, replace=False):
+            copy[at] = fresh(1)[0]
+        rows += [own, copy]
+    for n in (50, 60, 80, 120, 300, 1000):
+        for _ in range(30):
+            own = fresh(n)
+            copy, sets = list(own), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            for at in rng.permutation(n):
+                trial = [*copy[:at], *fresh(1), *copy[at + 1 :]]
+                if len(sets(own) & sets(trial)) < 0.8 * len(sets(own) | sets(trial)):
+                    break
+                copy = trial
+            rows += [own, copy]
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = {r["doc_id"]: r["group"] for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    alike = lambda a, b: simhash._alike(docs[a][1], docs[b][1], 5, 0.8)
+    pairs = [(i, i + 1) for i in range(0, len(docs), 2) if alike(i, i + 1)]
+    assert len(pairs) > 500 and all(got[a] == got[b] for a, b in pairs)
+    assert all(alike(i, g) for i, g in got.items() if i >= 800)
+
+
 def test_crowds_are_read_in_chunks():
     import pyarrow as pa
 
