@@ -199,25 +199,58 @@ def test_write_shards(spark, tmp_path):
 # -- 5 -------------------------------------------------------------------------------
 
 
-def test_packing(spark, odd, none):
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary())
+
+
+def expected_ids(text, tokenizer):
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_token_ids(spark, sf_dir, tokenizer):
+    """Against the tokenizer as the file gives it, on odd texts and all documents."""
+    odd_texts = ["don't  stop\n\n\tnow 123 ４５ ½ Ünïcode 😀😀", " " * 30 + "x", "日本語のテキスト", "ﬁ Ⅷ \u200b\u00a0 a\u2028b", "'S'Re 'LL", "", LONG[:5000]]
+    odd_texts += ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", " " * 1_200_000 + "x", "a" + "\n" * 70_000 + "b", "=" * 50_000, "x" * 50_000]
+    for t in [*odd_texts, *(r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())]:
+        assert packing.token_ids(t, vocabulary()).tolist() == expected_ids(t, tokenizer)
+    assert packing.token_ids("hi <|endoftext|> there", vocabulary()).tolist() == [5303, 220, 50256, 612, 0]
+
+
+def test_token_ids_of_other_files(tmp_path):
+    """What the fast way can't do goes through the file's tokenizer."""
+    import json
+
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
-    odd_texts = ["don't  stop\n\n\tnow 123 ４５ ½ Ünïcode 😀😀 <|endoftext|>", " " * 30 + "x", "日本語のテキスト", "ﬁ Ⅷ \u200b\u00a0 a\u2028b", "'S'Re 'LL"]
-    for t in [*odd_texts, "", LONG[:5000]]:
-        assert packing.token_ids(t, vocabulary()).tolist() == tok.encode(t, add_special_tokens=False).ids + [0]
-    rows = packing.pack(odd, vocabulary(), 2048).collect()
-    check_packing(rows, [(i, t) for i, t, _ in texts(odd)], 2048)
+    with open(vocabulary(), encoding="utf-8") as f:
+        file = json.load(f)
+    text = "Ünïcode  AND don't 12"
+    for name, change in (("lower", {"normalizer": {"type": "Lowercase"}}), ("spaces", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})):
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(file | change, f)
+        assert packing.fast_encoder(path) is None
+        assert packing.token_ids(text, path).tolist() == expected_ids(text, Tokenizer.from_file(path)) != packing.token_ids(text, vocabulary()).tolist()
+    assert packing.fast_encoder(vocabulary()) is not None
+
+
+def test_packing(spark, odd, none):
+    marked = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(70, "one <|endoftext|> two")], "doc_id long, text string"))
+    check_packing(packing.pack(marked, vocabulary(), 2048).collect(), [(r["doc_id"], r["text"]) for r in marked.collect()], 2048)
     assert packing.pack(none, vocabulary()).count() == 0
     seqs = packing.packed_sequences(odd, vocabulary(), 64).collect()
     assert all(0 < len(s["ids"]) <= 64 for s in seqs) and sum(len(s["ids"]) for s in seqs) == sum(len(packing.token_ids(t, vocabulary())) for _, t, _ in texts(odd))
 
 
 def check_packing(rows, docs, capacity):
-    want = []
+    from tokenizers import Tokenizer
+
+    want, tok = [], Tokenizer.from_file(vocabulary())
     for i, t in docs:
-        ids = packing.token_ids(t, vocabulary())
+        ids = np.array(expected_ids(t, tok), dtype="<u4")
         first = len(ids) % capacity or min(len(ids), capacity)
         for p, s in enumerate([0, *range(first, len(ids), capacity)]):
             part = ids[s : first if p == 0 else s + capacity]
