@@ -34,8 +34,8 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, findings, _ = secrets.scan_unseen(_table(spark, sf_dir, "documents"), secrets.empty_ledger(spark))
-    return secrets.span_report(secrets.join_back(index, findings))
+    found, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"), secrets.empty_ledger(spark))
+    return secrets.span_report(found)
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

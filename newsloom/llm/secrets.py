@@ -1,9 +1,12 @@
 """Secret scans with an incremental blob ledger.
 
 Every historical version of a file is addressed by the SHA-256 of its content. A ledger
-holds the (blob, rule, version) triples already scanned; a run scans only blobs with a
-triple that isn't there, each blob once, with just the rules it lacks, and joins findings
-back to every path and version that holds the blob.
+has a row for each blob and run that scanned it: which rule versions were run, and the
+spans they found. A run scans only blobs that lack a rule version, each blob once, with
+just the rules it lacks; its additions are appended to the ledger in one write. Findings
+of all runs, for the rule versions in force, are joined back to every path and version
+that holds the blob: an incremental run reports what a full scan would. Spans of a
+superseded rule version stay in the ledger and are no longer reported.
 
 What travels first is (id, blob). One holder is chosen per unseen blob by an aggregate
 that combines on the map side, so a text with a third of all rows costs one row a task;
@@ -12,7 +15,8 @@ blob that has any; the join back is of narrow rows and may be split by Spark whe
 is everywhere.
 
 Defined cases: a null text is the empty text; repeated versions share their blob; a null
-id keeps its row; an empty ledger or table is fine; spans are in code points, end exclusive.
+id keeps its row; an empty ledger or table is fine; additions appended twice, or by two
+runs at once, report once; spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -64,7 +68,8 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
-LEDGER = "blob binary, rule string"
+#: ``rules``: the rule versions run on the blob; ``found``: what they found, if anything.
+LEDGER = "blob binary, rules array<string>, found array<struct<rule:string,start:long,end:long>>"
 
 
 def find_spans(text: str, rules: Sequence[Rule]) -> list[tuple[str, int, int]]:
@@ -87,20 +92,18 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan_unseen(
-    versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, findings, additions).
+def blob_index(versions: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, blob) of every version."""
+    return versions.select(F.col(doc_id).alias("doc_id"), address(F.col(text)).alias("blob"))
+
 
-    ``index``: (doc_id, blob) of every version. ``findings``: (blob, spans) of newly
-    scanned blobs that have any. ``additions``: the triples to append to the ledger.
-    """
+def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows to append to ``ledger``, as a written table: unseen (blob, rule version) pairs, scanned."""
     blobs = versions.select(F.col(doc_id).alias("doc_id"), address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    index = blobs.select("doc_id", "blob")
-    done = ledger.groupBy(F.col("blob").alias("b")).agg(F.collect_set("rule").alias("done"))
+    done = ledger.groupBy(F.col("blob").alias("b")).agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
     unseen = (
-        index.groupBy("blob")
+        blobs.groupBy("blob")
         .agg(F.min("doc_id").alias("holder"))
         .join(done, F.col("blob") == F.col("b"), "left")
         .withColumn("todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))))
@@ -108,22 +111,33 @@ def scan_unseen(
         .select(F.col("blob").alias("u"), "holder", "todo")
     )
     by_key = {r.key: r for r in rules}
+    key_of = {r.kind: r.key for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            out_blob, out_spans = [], []
-            for blob, todo, said in zip(*(b.column(i) for i in range(3))):
+            found = []
+            for todo, said in zip(b.column(1), b.column(2)):
                 lacking = set(todo.as_py())
-                if spans := find_spans(said.as_py(), [r for r in by_key.values() if r.key in lacking]):
-                    out_blob.append(blob.as_py())
-                    out_spans.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-            yield pa.RecordBatch.from_arrays([pa.array(out_blob, pa.binary()), pa.array(out_spans, kind)], names=["blob", "spans"])
+                spans = find_spans(said.as_py(), [r for r in by_key.values() if r.key in lacking])
+                found.append([{"rule": key_of[k], "start": s, "end": e} for k, s, e in spans])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], names=["blob", "rules", "found"])
 
     texts = blobs.join(unseen, (F.col("blob") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("holder"))).select("blob", "todo", "text")
-    scanned = texts.mapInArrow(run, f"blob binary, spans {SPANS}")
-    findings = materialize(scanned.dropDuplicates(["blob"]), "findings")
-    return index, findings, unseen.select(F.col("u").alias("blob"), F.explode("todo").alias("rule"))
+    return materialize(texts.mapInArrow(run, LEDGER).dropDuplicates(["blob"]), "ledger")
+
+
+def current_findings(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs in which the rule versions in force have found anything."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    ours = F.filter("found", lambda s: F.array_contains(keys, s["rule"]))
+    ordered = F.transform(ours, lambda s: F.struct(s["start"].alias("start"), F.array_position(keys, s["rule"]).alias("at"), s["end"].alias("end")))
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    spans = F.transform(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ordered")))),
+        lambda s: F.struct(F.element_at(kinds, s["at"].cast("int")).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+    )
+    return ledger.select("blob", ordered.alias("ordered")).where(F.size("ordered") > 0).groupBy("blob").agg(spans.alias("spans"))
 
 
 def join_back(index: DataFrame, findings: DataFrame) -> DataFrame:
@@ -134,6 +148,16 @@ def join_back(index: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
+def scan_versions(
+    versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """One run: (doc_id, blob, spans) of all versions, old findings included, and the
+    additions to append to the ledger."""
+    additions = scan_unseen(versions, ledger, rules, doc_id, text)
+    known = ledger.unionByName(additions)
+    return join_back(blob_index(versions, doc_id, text), current_findings(known, rules)), additions
+
+
 def span_report(found: DataFrame) -> DataFrame:
     """Counts by base kind, a digest of base spans, and all spans as one string."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
