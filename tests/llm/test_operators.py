@@ -181,7 +181,7 @@ def test_secrets_incremental(spark, odd):
     # additions that were appended twice report once
     assert reported(secrets.scan_versions(second, both.unionByName(added))[0]) == full(second)
     # a raised version scans that rule alone, retires its old spans and leaves the others
-    newer = tuple(secrets.Rule("hex", r"[0-9a-f]{17,}", 17, version=2) if r.kind == "hex" else r for r in secrets.RULES)
+    newer = tuple(secrets.Rule("hex", r"[0-9a-f]{18,}", 18, version=2) if r.kind == "hex" else r for r in secrets.RULES)
     found, todo = secrets.scan_versions(second, both, newer)
     assert {tuple(r["rules"]) for r in todo.collect()} == {("hex@2",)} and todo.count() == second.select(secrets.address(F.col("text"))).distinct().count()
     assert reported(found) == full(second, newer) != full(second)
