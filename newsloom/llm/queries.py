@@ -61,7 +61,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0, 'user', '{PROBE}'), (-1L, 1, 'assistant', '{PROBE}') AS t(conv_id, turn, role, text)").to(rows.schema)
     return chat.format_report(chat.as_log(rows.unionByName(probe)))
 
 
@@ -156,10 +156,12 @@ WITH w AS (
 ), norm AS (
   SELECT doc_id, source, lower(array_to_string(regexp_extract_all(line, {_WORD}), ' ')) AS said, len(regexp_extract_all(line, {_WORD})) AS n
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), hosts AS (SELECT source, count(*) AS of_host FROM documents GROUP BY 1
+), sets AS (SELECT doc_id, source, list_sort(list_distinct(list(said))) AS said FROM norm GROUP BY 1, 2
+), hosts AS (SELECT d.source, count(DISTINCT coalesce(said, [])) AS of_host FROM documents d LEFT JOIN sets s ON d.doc_id = s.doc_id GROUP BY 1
+), different AS (SELECT DISTINCT source, said FROM sets
 ), frequent AS (
-  SELECT source, said FROM norm JOIN hosts USING (source) GROUP BY source, said, of_host
-  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.05 * of_host
+  SELECT source, line AS said FROM (SELECT source, unnest(said) AS line FROM different) JOIN hosts USING (source) GROUP BY source, line, of_host
+  HAVING count(*) > 20 AND count(*) > 0.05 * of_host
 ), gone AS (SELECT doc_id, sum(n) AS removed_words FROM norm JOIN frequent USING (source, said) GROUP BY 1
 ), base AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,

@@ -20,11 +20,12 @@ def base(text):
 
 
 def quality(rows, documents=20, share=0.05, depleted=0.5):
-    """rows: (doc_id, text, host). Per row: (kept, removed words, text without frequent lines)."""
+    """rows: (doc_id, text, host). Per row: (kept, removed words, text without frequent lines).
+
+    Documents of a host with the same set of normalised lines are one."""
     norm = lambda x: " ".join(WORD.findall(x)).lower()
-    hosts, counts = Counter(h for _, _, h in rows), Counter()
-    for _, t, h in rows:
-        counts.update({(h, norm(x)) for x in (t or "").split("\n") if WORD.search(x)})
+    different = {(h, frozenset(norm(x) for x in (t or "").split("\n") if WORD.search(x))) for _, t, h in rows}
+    hosts, counts = Counter(h for h, _ in different), Counter((h, x) for h, lines in different for x in lines)
     out = []
     for _, t, h in rows:
         n, *_, rep = base(t)

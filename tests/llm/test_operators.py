@@ -375,6 +375,21 @@ def test_quality_counts_copies_once(spark):
     assert quality.clean(docs).count() == 400
 
 
+def test_quality_counts_repeated_rows_once(spark):
+    """A row that stands 25 times loses nothing; what different documents share still goes."""
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    one = "\n".join(words(f"r{j}x", 15) for j in range(6))
+    footer = words("footer", 60)
+    rows = [(1, one, "host")] * 25 + [(100 + i, f"{words(f'd{i}x', 55)}\n{footer if i < 30 else words(f'e{i}x', 60)}", "host") for i in range(60)]
+    rows += [(500 + i, f"{words(f's{i}x', 20)}\n{footer}", "host") for i in range(3)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1]["kept"] and got[1]["removed_words"] == 0
+    assert {i for i, r in got.items() if not r["kept"]} == {*range(100, 130), 500, 501, 502}  # depleted: 60 of 115 and of 80 words
+    assert {r["removed_words"] for i, r in got.items() if 100 <= i < 130} == {60}
+    want = brute.quality(rows)
+    assert [(got[i]["kept"], got[i]["removed_words"]) for i, _, _ in rows] == [x[:2] for x in want]
+
+
 # -- 8 -------------------------------------------------------------------------------
 
 
