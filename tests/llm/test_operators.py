@@ -52,7 +52,7 @@ def test_ann_odd_rows(spark):
     rows = [(i, hot) for i in range(0, 300, 3)] + [(i, [float(i % 7), float(i % 5), 1.0, -float(i % 3)]) for i in range(1, 300, 3)]
     rows += [(0, hot), (500, None), (550, [0.0] * 4), (600, [1.0, None, 0.0, 0.0]), (650, [float("nan"), 1.0, 0.0, 0.0]), (700, [float("inf"), 1.0, 0.0, 0.0]), (750, [1.0]), (None, hot)]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rep string")
-    small = ann.TreeSettings(leaf_sample=8, block_rows=16, block_queries=2, recall=1.0)
+    small = ann.TreeSettings(leaf_sample=8, block_bytes=16 * 8 * 4, shelves=3, recall=1.0)
     got = {}
     for r in ann.search(table, "vec_id % 50 = 0", 5, small).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -92,6 +92,32 @@ def test_ann_recall(spark):
     assert len(got) == 60 and hits / 300 >= 0.9
 
 
+def test_ann_lone_queries(spark):
+    """Queries far from everything still get k rows: the walk goes on while its leaves hold too few."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in 0.01 * rng.normal(size=8) + np.eye(8)[0]]) for i in range(1, 400) if i % 50]
+    rows += [(50 * i, [float(x) for x in np.eye(8)[i]]) for i in range(1, 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(table, "vec_id % 50 = 0", 5, ann.TreeSettings(leaf_sample=1, leaves=200, recall=0.01)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(50 * i, r) for i in range(1, 8) for r in range(1, 6)]
+
+
+def test_calibration_leaves_the_query_out(spark):
+    """A query's own leaf, best for itself, doesn't count as recall."""
+    tree = ann.Tree(np.array([[0.6, 0.8], [1.0, 0.0], [0.0, 1.0]]), [[1, 2], [], []])
+    indexed = spark.createDataFrame([(0, 0, [1.0, 0.1]), (1, 1, [0.5, 1.0])], "rep long, leaf long, vec array<double>")
+    asked = (np.array([0]), np.array([[1.0, 0.1]]))
+    assert ann.calibrated_visits(tree, asked, np.array([1]), indexed, 1, 0.5) == 2
+    assert ann.calibrated_visits(tree, asked, np.array([2]), indexed, 1, 0.5) == 1
+
+
+def test_shelves():
+    sizes = {0: 10, 1: 5, 2: 100, 3: 4, 4: 30}
+    placed = ann._shelves(sizes, 40, 1)
+    assert placed == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (2, 1), 4: (2, 1)}
+    assert ann._shelves({}, 40, 3) == {} and len({x for x, _ in ann._shelves({i: 10 for i in range(30)}, 1000, 6).values()}) == 6
+
+
 def test_tree_visits_every_leaf_once():
     rows = np.random.default_rng(0).normal(size=(500, 8))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
