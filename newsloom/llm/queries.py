@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import ann, chat, line_dedup, mixing, packing, quality, secrets, sharding, simhash, url_filter
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Suffixes of two labels that the url query knows; the operator takes a table of any length.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "co.in", "co.za", "com.mx", "com.cn", "com.tr")
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -29,8 +31,9 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no labels of their own; ``labels`` with the same number stand in for them."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    suffixes = spark.sql(f"SELECT * FROM VALUES {_SUFFIXES} AS t(suffix)")
+    judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES, suffixes=suffixes)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("posterior", 9).alias("posterior"), F.round("lower", 9).alias("lower"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ QUERIES = {f.__name__: f for f in (op1_ann, op2_urls, op3_secrets, op4_shards, o
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
-_TWO_LABELS = ", ".join(f"'{x}'" for x in url_filter.TWO_LABELS)
+_SUFFIXES = ", ".join(f"('{x}')" for x in SUFFIXES)
 
 
 def _shrink(units: str, parents: str, key: str, parent: str) -> str:
@@ -99,7 +102,8 @@ def _rule_sql(column: int) -> str:
 
 SQL = {
     "op2_urls": rf"""
-WITH rest AS (
+WITH known(suffix) AS (VALUES {_SUFFIXES}
+), rest AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -112,7 +116,7 @@ WITH rest AS (
   FROM parts LEFT JOIN per_page USING (page_id) GROUP BY 1, 2
 ), hosts AS (
   SELECT host, n, bad, CASE WHEN regexp_matches(bare, '^(\d+\.){{3}}\d+$') THEN bare ELSE array_to_string(list_slice(string_split(bare, '.'),
-    -(CASE WHEN array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') IN ({_TWO_LABELS}) THEN 3 ELSE 2 END), -1), '.') END AS domain
+    -(CASE WHEN array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') IN (SELECT suffix FROM known) THEN 3 ELSE 2 END), -1), '.') END AS domain
   FROM bare
 ), domains AS (
   SELECT domain, CASE WHEN regexp_matches(domain, '^(\d+\.){{3}}\d+$') OR NOT contains(domain, '.') THEN '' ELSE regexp_replace(domain, '^[^.]*\.', '') END AS suffix,
@@ -121,9 +125,9 @@ WITH rest AS (
 ), whole AS (SELECT 0 AS k, (sum(bad) + 0.5) / (sum(n) + 1) AS prior FROM suffixes
 ), s AS (SELECT suffix AS k, a / (a + b) AS prior FROM ({_shrink("suffixes", "whole", "k", "one")})
 ), d AS (SELECT domain AS k, a / (a + b) AS prior FROM ({_shrink("domains", "s", "k", "suffix")})
-), h AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS blocked FROM ({_shrink("hosts", "d", "k", "domain")})
+), h AS (SELECT host, round(a / (a + b), 9) AS posterior, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ({_shrink("hosts", "d", "k", "domain")})
 )
-SELECT page_id, host, path, {_rule_sql(0)} AS rule, coalesce({_rule_sql(1)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, {_rule_sql(0)} AS rule, coalesce({_rule_sql(1)}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, posterior, round(bound, 9) AS lower
 FROM parts LEFT JOIN h USING (host)""",
     "op6_line_dedup": r"""
 WITH every AS (

@@ -9,7 +9,11 @@ standard deviations below the mean, is above ``most_bad``. Explicit rules come f
 
 Only DataFrame functions run here. Pages travel as (id, host), labels as counts; sums
 combine on the map side, and the verdicts that return to the pages are one row a host,
-joined so that Spark can split a host with a third of all pages.
+joined so that Spark can split a host with a third of all pages. The counts of hosts are
+written once and all three levels derive from them.
+
+Suffixes under which names are registered come as a table of their own (any number of
+labels each; the longest that fits counts); without one, a host's last label is its suffix.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and takes part
 as host ''; null labels don't count; a page may have several labels, and repeated pages
@@ -26,9 +30,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of two labels under which names are registered; a parameter, not a full list.
-TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "co.in", "co.za", "com.mx", "com.cn", "com.tr")
-
+from newsloom.llm.common import let, materialize
 
 @dataclass(frozen=True)
 class Reputation:
@@ -52,16 +54,34 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    """The suffix and one label more; hosts of fewer labels, and addresses, stand for themselves."""
-    bare = F.regexp_replace(host, r"\.?(:\d*)?$", "")
-    two = F.substring_index(bare, ".", -2)
-    name = F.when(two.isin(*TWO_LABELS), F.substring_index(bare, ".", -3)).otherwise(two)
-    return F.when(bare.rlike(r"^(\d+\.){3}\d+$"), bare).otherwise(name)
+_ADDRESS = r"^(\d+\.){3}\d+$"
+
 
+def bare_host(host: Column) -> Column:
+    """A host without port and final dot."""
+    return F.regexp_replace(host, r"\.?(:\d*)?$", "")
 
-def suffix_of(domain: Column) -> Column:
-    return F.when(domain.rlike(r"^(\d+\.){3}\d+$") | ~F.contains(domain, F.lit(".")), F.lit("")).otherwise(F.regexp_replace(domain, r"^[^.]*\.", ""))
+
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (one row a host) with domain, the suffix and one label more, and suffix.
+
+    ``suffixes``: a table with a column ``suffix``. A host of no more labels than its suffix
+    stands for itself under suffix '', and so does an address.
+    """
+    named = hosts.withColumn("bare", bare_host(F.col("host")))
+    labels = F.when(named["bare"].rlike(_ADDRESS), F.array(F.col("bare"))).otherwise(F.split("bare", r"\."))
+    named = named.withColumn("labels", labels)
+    known = F.lit(1)
+    if suffixes is not None:
+        tails = F.transform(F.sequence(F.lit(1), F.size("labels") - 1), lambda n: F.struct(F.array_join(F.slice("labels", -n, n), ".").alias("tail"), n.alias("n")))
+        fits = named.where(F.size("labels") > 1).select("host", F.inline(tails))
+        fits = fits.join(suffixes.select(F.col("suffix").alias("tail")).distinct(), "tail").groupBy(F.col("host").alias("_h")).agg(F.max("n").alias("_n"))
+        named = named.join(fits, F.col("host").eqNullSafe(F.col("_h")), "left")
+        known = F.coalesce("_n", F.lit(1))
+    enough = F.size("labels") > known
+    last = lambda n: let(n, lambda k: F.array_join(F.slice(F.col("labels"), -k, k), "."))
+    domain = F.when(enough, last(known + 1)).otherwise(F.col("bare"))
+    return named.select(*hosts.columns, domain.alias("domain"), F.when(enough, last(known)).otherwise(F.lit("")).alias("suffix"))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -88,7 +108,7 @@ def _spread(units: DataFrame, r: Reputation) -> DataFrame:
     return sums.select((1 / rho - 1).alias("strength"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reputation()) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reputation(), suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, bad, posterior, lower, blocked) of every host.
 
     ``pages``: page_id, host. ``outcomes``: page_id, bad (boolean; null doesn't count).
@@ -98,12 +118,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reput
         pages.join(per_page, F.col("page_id") == F.col("o"), "left")
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("bad"))
-        .withColumn("domain", registered_domain(F.col("host")))
     )
+    hosts = materialize(with_domains(hosts, suffixes), "hosts")
     total = lambda: (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = hosts.groupBy("domain").agg(*total()).withColumn("suffix", suffix_of(F.col("domain")))
-    suffixes = domains.groupBy("suffix").agg(*total())
-    whole = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior"))
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(*total()), "domains")
+    suffix_totals = materialize(domains.groupBy("suffix").agg(*total()), "suffixes")
+    whole = suffix_totals.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior"))
 
     def shrunk(units: DataFrame) -> DataFrame:
         a = F.col("strength") * F.col("prior") + F.col("bad")
@@ -111,23 +131,29 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reput
         # one row: a cross join with it adds no rows
         return units.join(_spread(units, r)).withColumn("a", a).withColumn("b", b).withColumn("posterior", F.col("a") / (F.col("a") + F.col("b")))
 
-    s = shrunk(suffixes.join(whole)).select(F.col("suffix").alias("parent"), F.col("posterior").alias("prior"))
-    d = shrunk(domains.join(s, F.col("suffix") == F.col("parent"))).select(F.col("domain").alias("parent"), F.col("posterior").alias("prior"))
+    s = shrunk(suffix_totals.join(whole)).select(F.col("suffix").alias("s"), F.col("posterior").alias("prior"))
+    d = shrunk(domains.join(s, F.col("suffix") == F.col("s"))).select(F.col("domain").alias("d"), F.col("suffix").alias("s"), F.col("posterior").alias("prior"))
     size = F.col("a") + F.col("b")
     sd = F.sqrt(F.col("a") * F.col("b") / (size * size * (size + 1)))
     return (
-        shrunk(hosts.join(d, F.col("domain") == F.col("parent")))
+        shrunk(hosts.join(d, (F.col("domain") == F.col("d")) & (F.col("suffix") == F.col("s"))))
         .withColumn("lower", F.col("posterior") - r.z * sd)
         .select("host", "n", "bad", "posterior", "lower", (F.col("lower") > r.most_bad).alias("blocked"))
     )
 
 
 def judge_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), r: Reputation = Reputation(), page_id: str = "page_id", url: str = "url"
+    pages: DataFrame,
+    outcomes: DataFrame,
+    rules: Sequence[tuple[str, str]] = (),
+    r: Reputation = Reputation(),
+    suffixes: DataFrame | None = None,
+    page_id: str = "page_id",
+    url: str = "url",
 ) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), posterior, lower."""
     parts = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    known = host_reputation(parts.select("page_id", "host"), outcomes, r).select(F.col("host").alias("h"), "posterior", "lower", "blocked")
+    known = host_reputation(parts.select("page_id", "host"), outcomes, r, suffixes).select(F.col("host").alias("h"), "posterior", "lower", "blocked")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     return parts.join(known, F.col("host") == F.col("h"), "left").select(
         "page_id", "host", "path", rule.alias("rule"),

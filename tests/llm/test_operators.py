@@ -155,9 +155,25 @@ def test_url_shrinkage_and_empty(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, labels).collect()} == {"allow"}
     assert {r["verdict"] for r in url_filter.judge_urls(pages, labels.limit(0)).collect()} == {"allow"}
     assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.com:80",), ("com",), ("10.0.0.1",), ("",)], "h string")
-    got = hosts.select(url_filter.registered_domain(F.col("h")).alias("d")).select("d", url_filter.suffix_of(F.col("d")).alias("s")).collect()
-    assert [tuple(r) for r in got] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", ""), ("10.0.0.1", ""), ("", "")]
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.com:80",), ("com",), ("co.uk",), ("10.0.0.1",), ("",), ("x.y.city.kobe.jp",)], "host string")
+    table = spark.createDataFrame([("co.uk",), ("city.kobe.jp",), ("kobe.jp",), ("jp",)], "suffix string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_domains(hosts, table).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.com:80": ("b.com", "com"), "com": ("com", ""), "co.uk": ("co.uk", "uk"), "10.0.0.1": ("10.0.0.1", ""), "": ("", ""), "x.y.city.kobe.jp": ("y.city.kobe.jp", "city.kobe.jp")}
+    assert {r["domain"] for r in url_filter.with_domains(hosts).where("host = 'a.b.co.uk'").collect()} == {"co.uk"}
+
+
+def test_url_prior_blocks_without_own_labels(spark):
+    """A host with no labelled page is blocked through its domain alone; a very long url is judged."""
+    long = "x://h0.bad.net/" + "a" * 200_000
+    rows = [(i, f"x://h{i % 30}.bad.net/{i}") for i in range(900)] + [(1000 + i, f"x://g{i % 30}.good.net/{i}") for i in range(900)] + [(5000, "x://fresh.bad.net/"), (5001, "x://fresh.good.net/"), (5002, long)]
+    labels = [(i, i < 900) for i, _ in rows[:1800]]
+    # units of a level that differ a lot have weak priors: six domains more, half of them bad
+    rows += [(6000 + i, f"x://w{i % 12}.side{i % 6}.net/") for i in range(600)]
+    labels += [(6000 + i, i % 6 < 3) for i in range(600)]
+    pages, known = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, known, r=url_filter.Reputation(most_spread=0.05)).collect()}
+    assert got[5000]["verdict"] == "block" and got[5000]["lower"] > 0.5 and got[5001]["verdict"] == "allow"
+    assert got[5002]["verdict"] == "block" and len(got[5002]["path"]) == 200_001
 
 
 # -- 3 -------------------------------------------------------------------------------
