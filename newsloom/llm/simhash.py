@@ -242,6 +242,18 @@ def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], _SEED) for a, b in zip(starts, stops)], dtype=np.uint64))
 
 
+#: Words of 64 bits of a set's parity bitmap.
+_WORDS = 8
+_BITS = [f"b{k}" for k in range(_WORDS)]
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set of hashes: each turns one bit. Two bitmaps differ in no more bits
+    than their sets differ in hashes, which bounds from above what the sets share."""
+    places = np.bincount((hashes & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """The first of a set's hashes, those in ``common`` behind all others, of which two sets
     that share ``least`` of their union must have one in common."""
@@ -252,10 +264,11 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate((hashes[~late], hashes[late]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
 
 
-def common_shingles(docs: DataFrame, text: str, shingle: int, sample: int = 10_000, over: int = 8, most: int = 1 << 19) -> np.ndarray:
-    """Hashes of shingles in more than ``over`` documents of a sample. They only set the
-    order that prefixes are taken in: any choice finds the same pairs, this one in less time."""
-    n = docs.count()
+def common_shingles(docs: DataFrame, n: int, text: str, shingle: int, over: int = 8, most: int = 1 << 19) -> np.ndarray:
+    """Hashes of shingles in more than ``over`` documents of a sample of the ``n`` documents: a
+    twentieth, 10,000 to 200,000 of them. They only set the order that prefixes are taken in:
+    any choice finds the same pairs, this one in less time."""
+    sample = min(max(10_000, n // 20), 200_000)
     part = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(n, 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +283,8 @@ def common_shingles(docs: DataFrame, text: str, shingle: int, sample: int = 10_0
 def probed_fingerprints(
     docs: DataFrame, doc_id: str, text: str, shingle: int = 3, blocks: int = 3, turned: int = 4, set_shingle: int = 5, least: float = 0.8, common: np.ndarray | None = None
 ) -> DataFrame:
-    """(doc_id, fp, probes, digest, n, prefix): n and prefix are of the ``set_shingle``-word set."""
+    """(doc_id, fp, probes, digest, n, prefix, b0, b1, ...): n, prefix and the parity bitmap are
+    of the ``set_shingle``-word set."""
     common = np.empty(0, dtype=np.uint64) if common is None else common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +297,13 @@ def probed_fingerprints(
                 sets = [_shingle_hashes(t, set_shingle) for t in texts]
                 sizes = pa.array([len(x) for x in sets], pa.int32())
                 prefixes = pa.array([_prefix(x, common, least).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack(votes).view(np.int64)), keys, digests, sizes, prefixes], names=["doc_id", "fp", "probes", "digest", "n", "prefix"])
+                bits = [pa.array(x) for x in np.ascontiguousarray(np.stack([_parity(x) for x in sets]).T)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(_pack(votes).view(np.int64)), keys, digests, sizes, prefixes, *bits], names=["doc_id", "fp", "probes", "digest", "n", "prefix", *_BITS]
+                )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, probes array<long>, digest binary, n int, prefix array<long>")
+    schema = "doc_id long, fp long, probes array<long>, digest binary, n int, prefix array<long>, " + ", ".join(f"{x} long" for x in _BITS)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def _tree(fps: np.ndarray, most: int) -> tuple[list[tuple[int, int]], int]:
@@ -370,72 +388,163 @@ def _propose(most: int, chunk: int = 256, hubs: int = 8):
     return run
 
 
-def _meet(least: float, chunk: int = 512, tile: int = 8192):
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of a partition ordered by its first, cut so that no value of that is torn apart."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = tuple(c.to_numpy() for c in b.columns)
+        if held and rows[0][-1] == held[0][0][0]:
+            held.append(rows)
+            continue
+        rows = tuple(np.concatenate(x) for x in zip(*held, rows))
+        cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+        if cut:
+            yield tuple(x[:cut] for x in rows)
+        held = [tuple(x[cut:] for x in rows)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _shared(enough: int = 1 << 16):
+    """Of the rows (shingle, component, ...) of a partition, in that order, those whose shingle
+    stands in two components or more. Of a shingle with over ``enough`` rows all are kept, so
+    no more than those are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # one shingle's rows, not yet known to be shared
+        open_key = None  # a shingle whose rows all go out
+        for b in batches:
+            while b.num_rows:
+                key, comp = b.column(0).to_numpy(), b.column(1).to_numpy()
+                same = held[0].column(0)[0].as_py() if held else open_key
+                if same is not None and key[0] == same:
+                    end = int(np.searchsorted(key != same, True))
+                    part = b.slice(0, end)
+                    if not held:
+                        yield part
+                    elif comp[end - 1] != held[0].column(1)[0].as_py() or sum(x.num_rows for x in held) + end > enough:
+                        yield from held
+                        yield part
+                        held, open_key = [], same
+                    else:
+                        held.append(part)
+                    b = b.slice(end)
+                    continue
+                held, open_key = [], None
+                edge = np.flatnonzero(np.diff(key)) + 1
+                starts, stops = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+                mixed = comp[starts] != comp[stops - 1]
+                keep = np.repeat(mixed, stops - starts)
+                last = int(starts[-1])
+                if not mixed[-1]:
+                    held = [b.slice(last)]
+                else:
+                    open_key = int(key[-1])
+                if keep.any():
+                    yield b.filter(pa.array(keep))
+                break
+
+    return run
+
+
+def _meet(least: float, chunk: int = 512, tile: int = 2048):
     """Pairs of different components that may share ``least`` of their union, among the rows
-    (shingle, component, id, n, place) of a partition in the order of shingle and component.
+    (key, component, side, id, n, place, bitmap words) of a partition in that order.
 
     A pair is judged at each shared prefix shingle as if it were the first: what stands
-    behind it must be enough. All rows of a shingle meet, blocks against blocks; rows that
-    are one component already don't.
+    behind it must be enough, and the bitmaps must allow it; neither loses a pair. Rows of
+    one component don't meet, nor do rows of one side but side 0.
     """
-    Rows = tuple[np.ndarray, ...]
+    apart = (1 - least) / (1 + least)  # the share of both sizes together that two sets may differ in
+
+    def allowed(rows: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = np.zeros(len(i), dtype=np.int64)
+        for word in rows[6:]:
+            differ += np.bitwise_count((word[i] ^ word[j]).view(np.uint64))
+        ok = differ <= apart * (rows[4][i] + rows[4][j]) + 1e-6
+        return i[ok], j[ok]
 
     def may(n: np.ndarray, place: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.minimum(n - place, m - at) * (1 + least) >= least * (n + m) - 1e-6
 
-    def batch(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.stack((np.concatenate(left), np.concatenate(right)), axis=1) if left else np.empty((0, 2), dtype=np.int64)
+    def batch(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pairs = np.concatenate([np.empty((0, 2), dtype=np.int64), *(np.stack((ids[i], ids[j]), axis=1) for i, j in found)])
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left_id", "right_id"])
 
-    def work(rows: Rows) -> Iterator[pa.RecordBatch]:
-        key, comp, ids, n, place = rows
-        edge = np.flatnonzero(np.diff(key)) + 1
-        starts, stops = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
-        size = stops - starts
-        kept = np.repeat((size > 1) & (size <= 8), size)
-        k_, c_, i_, n_, p_ = (x[kept] for x in rows)
-        left, right = [], []
-        for k in range(1, min(8, len(k_))):
-            i = np.flatnonzero((k_[:-k] == k_[k:]) & (c_[:-k] != c_[k:]))
-            i = i[may(n_[i], p_[i], n_[i + k], p_[i + k])]
-            left.append(i_[i])
-            right.append(i_[i + k])
-        yield batch(left, right)
-        for a, b in zip(starts[size > 8], stops[size > 8]):
-            for at in range(a, b, chunk):
-                to = min(at + chunk, b)
-                first = at + int(np.searchsorted(comp[at:b], comp[at], side="right"))
-                left, right = [], []
-                for x in range(first, b, tile):
-                    y = min(x + tile, b)
-                    ok = may(n[at:to, None], place[at:to, None], n[None, x:y], place[None, x:y]) & (comp[at:to, None] < comp[None, x:y])
-                    i, j = np.nonzero(ok)
-                    left.append(ids[at + i])
-                    right.append(ids[x + j])
-                if sum(map(len, left)):
-                    yield batch(left, right)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Rows] = []  # rows of the last shingle may go on in the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = tuple(c.to_numpy() for c in b.columns)
-            if held and rows[0][-1] == held[0][0][0]:
-                held.append(rows)
-                continue
-            rows = tuple(np.concatenate(x) for x in zip(*held, rows))
-            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
-            if cut:
-                yield from work(tuple(x[:cut] for x in rows))
-            held = [tuple(x[cut:] for x in rows)]
-        if held:
-            yield from work(tuple(np.concatenate(x) for x in zip(*held)))
+        for rows in _grouped(batches):
+            key, comp, side, ids, n, place = rows[:6]
+            edge = np.flatnonzero(np.diff(key)) + 1
+            starts, stops = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+            size = stops - starts
+            few = np.flatnonzero(np.repeat((size > 1) & (size <= 8), size))
+            found = []
+            for k in range(1, min(8, len(few))):
+                i, j = few[:-k], few[k:]
+                ok = (key[i] == key[j]) & (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0))
+                i, j = i[ok], j[ok]
+                ok = may(n[i], place[i], n[j], place[j])
+                found.append(allowed(rows, i[ok], j[ok]))
+            yield batch(ids, found)
+            for a, b in zip(starts[size > 8], stops[size > 8]):
+                for at in range(a, b, chunk):
+                    to = min(at + chunk, b)
+                    first = at + int(np.searchsorted(comp[at:b], comp[at], side="right"))
+                    found = []
+                    for x in range(first, b, tile):
+                        y = min(x + tile, b)
+                        ok = may(n[at:to, None], place[at:to, None], n[None, x:y], place[None, x:y]) & (comp[at:to, None] < comp[None, x:y])
+                        ok &= (side[at:to, None] != side[None, x:y]) | (side[at:to, None] == 0)
+                        i, j = np.nonzero(ok)
+                        found.append(allowed(rows, at + i, x + j))
+                    if sum(len(i) for i, _ in found):
+                        yield batch(ids, found)
 
     return run
 
 
+def _crowd_blocks(rows: DataFrame, crowd: int) -> DataFrame:
+    """Rows of shingles with over ``crowd`` rows, dealt to keys that stand for two blocks each.
+
+    The largest component's rows meet those of all others, and these one another; its own
+    don't meet. A key has two blocks of some ``crowd`` rows, whatever the shingle has.
+    """
+    counted = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    led = counted.groupBy("shingle").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("lead"), F.count("*").alias("components"))
+    led = materialize(
+        led.where((F.col("all") > crowd) & (F.col("components") > 1)).select(
+            F.col("shingle").alias("s"), F.col("lead.component").alias("lead"), F.ceil(F.col("lead.n") / crowd).alias("l"), F.ceil((F.col("all") - F.col("lead.n")) / crowd).alias("r")
+        ),
+        "crowds",
+    )
+    dealt = rows.join(led, F.col("shingle") == F.col("s"))
+    lead = F.col("component") == F.col("lead")
+    block = F.when(lead, F.pmod(F.xxhash64("id"), F.col("l"))).otherwise(F.col("l") + F.pmod(F.xxhash64("id"), F.col("r")))
+    others = F.when(lead, F.sequence(F.col("l"), F.col("l") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("l") + F.col("r") - 1))
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    key = F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.select(key.alias("key"), "component", side.cast("int").alias("side"), "id", "n", "place")
+
+
+def _left_apart(classes: DataFrame, near: DataFrame, similarity: float, crowd: int = 4096) -> DataFrame:
+    """(left_id, right_id): what may be as alike as asked among classes that ``near`` leaves apart."""
+    known = connected_components(near, "left_id", "right_id").select("node", "component")
+    rows = classes.select("id", "n", "prefix").join(known, F.col("id") == F.col("node"), "left").select(F.posexplode("prefix").alias("place", "shingle"), F.coalesce("component", "id").alias("component"), "id", "n")
+    names = ["shingle", "component", "id", "n", "place"]
+    rows = rows.select(*names).repartition("shingle").sortWithinPartitions("shingle", "component")
+    rows = materialize(rows.mapInArrow(_shared(), "shingle long, component long, id long, n int, place int"), "shared")
+    crowds = materialize(rows.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select("shingle"), "crowd-shingles")
+    keyed = rows.join(crowds, "shingle", "left_anti").select(F.col("shingle").alias("key"), "component", F.lit(0).alias("side"), "id", "n", "place")
+    if not crowds.isEmpty():
+        keyed = keyed.unionByName(_crowd_blocks(rows.join(crowds, "shingle", "left_semi"), crowd))
+    keyed = keyed.join(classes.select(F.col("id").alias("i"), *_BITS), F.col("id") == F.col("i")).select("key", "component", "side", "id", "n", "place", *_BITS)
+    return keyed.repartition("key").sortWithinPartitions("key", "component").mapInArrow(_meet(similarity), "left_id long, right_id long").distinct()
+
+
 def _alike(left: str | None, right: str | None, shingle: int, least: float) -> bool:
     """Whether two texts share ``least`` of their word shingles."""
 
@@ -465,14 +574,16 @@ def _decided(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle: in
 
 
 def similar_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 14, blocks: int = 3, turned: int = 4, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most: int = 14, blocks: int = 0, turned: int = 0, crowd: int = 4096,
+    key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(key, group): texts whose ``shingle``-word sets are alike, linked and closed.
 
     A similarity of 0.8 is up to eleven of 64 bits, too far for anchors at a linear cost.
     But bits that differ between like texts are those with the closest votes: so each of
-    ``blocks`` blocks is looked up with any of its ``turned`` least certain bits turned (48
-    keys a fingerprint; 2 and 7, with keys of 32 bits, from some ten million texts on).
+    ``blocks`` blocks is looked up with any of its ``turned`` least certain bits turned (3 and
+    4, 48 keys a fingerprint; from ten million texts on 2 and 7, with keys of 32 bits; this
+    sets the time that is taken, not what is found).
     Anchors' own links within two bits are looked at too, and so are different texts of one
     fingerprint. What is proposed is decided by the texts themselves; only texts of the same
     words are one class from the start. ``key`` must be a long that isn't null; equal keys
@@ -482,12 +593,17 @@ def similar_groups(
     crowds. So what they leave apart is joined once more, by the shingles themselves and
     without loss: in a common order of all shingles, two sets as alike as asked share one
     of the first few of each (prefix filtering). Shingles that many documents have stand
-    last in that order, so documents on one template rarely meet by it.
+    last in that order, so documents on one template rarely meet by it. Only shingles of two
+    components or more are looked at, in blocks of a bounded size, and of two sets that meet
+    a bitmap each tells nearly always whether they can be alike; texts move for the others.
     """
-    common = common_shingles(docs, text, shingle)
+    n = docs.count()
+    blocks, turned = (blocks, turned) if blocks else (3, 4) if n < 10_000_000 else (2, 7)
+    common = common_shingles(docs, n, text, shingle)
     every = materialize(probed_fingerprints(docs, key, text, 3, blocks, turned, shingle, similarity, common), "fingerprints")
-    classes = every.groupBy("digest").agg(F.min_by(F.struct("doc_id", "fp", "probes", "n", "prefix"), "doc_id").alias("m"))
-    classes = materialize(classes.select("digest", F.col("m.doc_id").alias("id"), "m.fp", "m.probes", "m.n", "m.prefix"), "classes")
+    least = every.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    firsts = every.join(least, "digest").where(F.col("doc_id") == F.col("least")).dropDuplicates(["digest"])
+    classes = materialize(firsts.select("digest", F.col("doc_id").alias("id"), "fp", "probes", "n", "prefix", *_BITS), "classes")
     leads = materialize(classes.groupBy("fp").agg(F.min_by(F.struct("id", "probes"), "id").alias("m")).select("fp", F.col("m.id").alias("least"), "m.probes"), "leads")
     spread = leads.select(F.explode("probes").alias("probe"), "fp").repartition("probe").sortWithinPartitions("probe", "fp")
     proposed = spread.mapInArrow(_propose(most), "left long, right long").union(fingerprint_links(leads.select("fp")))
@@ -496,10 +612,7 @@ def similar_groups(
     same = classes.join(leads.select("fp", "least"), "fp").where("id <> least").select(F.col("least").alias("left_id"), F.col("id").alias("right_id"))
     named = pairs.join(of("left"), "left").join(of("right"), "right").select("left_id", "right_id").union(same)
     near = _decided(docs, named, key, text, shingle, similarity)
-    known = connected_components(near, "left_id", "right_id").select("node", "component")
-    rows = classes.select("id", "n", "prefix").join(known, F.col("id") == F.col("node"), "left").select(F.posexplode("prefix").alias("place", "shingle"), F.coalesce("component", "id").alias("component"), "id", "n")
-    rows = rows.select("shingle", "component", "id", "n", "place").repartition("shingle").sortWithinPartitions("shingle", "component")
-    rest = rows.mapInArrow(_meet(similarity), "left_id long, right_id long").distinct()
+    rest = _left_apart(classes, near, similarity, crowd)
     linked = connected_components(near.union(_decided(docs, rest, key, text, shingle, similarity)), "left_id", "right_id")
     led = classes.select("digest", "id").join(linked, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("group"))
     return every.select(F.col("doc_id").alias(key), "digest").join(led, "digest").select(key, "group")

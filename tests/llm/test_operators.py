@@ -542,6 +542,56 @@ def test_similar_groups_lose_no_pair(spark):
     assert all(alike(i, g) for i, g in got.items() if i >= 800)
 
 
+def test_crowded_shingles_lose_no_pair(spark):
+    """Shingles with more rows than a block are dealt to pairs of blocks: the same groups come out."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, size=n)]
+    rows, passage = [], fresh(40)
+    for k in range(60):  # different documents, nearly all of each the same passage, and a copy that fingerprints may miss
+        own = [*passage, *fresh(12 + k % 5)]
+        rows += [own, [*own[:-2], *fresh(2)]]
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    want = {i: min(v) for i, v in brute.components([i for i, _ in docs], lambda a, b: simhash._alike(docs[a][1], docs[b][1], 5, 0.8)).items()}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for crowd in (5, 4096):
+        assert {r["doc_id"]: r["group"] for r in simhash.similar_groups(table, crowd=crowd).collect()} == want
+    assert len(set(want.values())) > 20
+    # without any help from fingerprints
+    classes = simhash.probed_fingerprints(table, "doc_id", "text").select(F.col("doc_id").alias("id"), "n", "prefix", *simhash._BITS)
+    none = spark.createDataFrame([], "left_id long, right_id long")
+    alike = {(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if simhash._alike(docs[a][1], docs[b][1], 5, 0.8)}
+    for crowd in (5, 4096):
+        found = {tuple(r) for r in simhash._left_apart(classes, none, 0.8, crowd).collect()}
+        assert alike <= found and len(found) < 0.5 * len(docs) * len(docs) / 2
+
+
+def test_shared_shingles():
+    """Rows of one component's shingles go, however the batches are cut; large ones are not held."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(-40, 40, size=3000))
+    comp = np.where(key % 3 == 0, 7, rng.integers(0, 3, size=3000))
+    order = np.lexsort((comp, key))
+    key, comp = key[order], comp[order]
+    shared = [k for k in np.unique(key) if len(set(comp[key == k])) > 1]
+    for size in (1, 7, 100, 3000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + size]), pa.array(comp[a : a + size]), pa.array(np.arange(a, min(a + size, 3000)))], names=["k", "c", "i"]) for a in range(0, 3000, size)]
+        got = [i for b in simhash._shared()(iter(batches)) for i in b.column(2).to_pylist()]
+        assert got == np.flatnonzero(np.isin(key, shared)).tolist()
+        few = [i for b in simhash._shared(5)(iter(batches)) for i in b.column(2).to_pylist()]
+        assert set(got) <= set(few) and len(few) == len(set(few))
+
+
+def test_bitmaps_bound_what_differs():
+    rng = np.random.default_rng(2)
+    for n in (1, 50, 800):
+        a = rng.integers(0, 2**63, size=n).astype(np.uint64)
+        b = np.concatenate((a[: n // 2], rng.integers(0, 2**63, size=n // 3).astype(np.uint64)))
+        apart = int(np.bitwise_count((simhash._parity(a) ^ simhash._parity(b)).view(np.uint64)).sum())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_crowds_are_read_in_chunks():
     import pyarrow as pa
 
