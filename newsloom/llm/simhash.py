@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialize
+from newsloom.llm.common import materialize, release
 from newsloom.operators.components import connected_components
 
 _SEED = 42
@@ -247,13 +247,24 @@ _WORDS = 8
 _BITS = [f"b{k}" for k in range(_WORDS)]
 
 
-def _parity(hashes: np.ndarray) -> np.ndarray:
+def _parity(hashes: np.ndarray, words: int = _WORDS) -> np.ndarray:
     """A bitmap of a set of hashes: each turns one bit. Two bitmaps differ in no more bits
     than their sets differ in hashes, which bounds from above what the sets share."""
-    places = np.bincount((hashes & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
+    places = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(places.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _long_parity(hashes: np.ndarray) -> bytes | None:
+    """For a set too large for the short bitmap, one with two bits and more a hash."""
+    return _parity(hashes, 1 << (len(hashes) // 32).bit_length()).tobytes() if len(hashes) > 64 * _WORDS else None
+
+
+def _long_apart(a: bytes, b: bytes) -> int:
+    """Bits that two long bitmaps differ in; the longer one is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """The first of a set's hashes, those in ``common`` behind all others, of which two sets
     that share ``least`` of their union must have one in common."""
@@ -283,8 +294,8 @@ def common_shingles(docs: DataFrame, n: int, text: str, shingle: int, over: int
 def probed_fingerprints(
     docs: DataFrame, doc_id: str, text: str, shingle: int = 3, blocks: int = 3, turned: int = 4, set_shingle: int = 5, least: float = 0.8, common: np.ndarray | None = None
 ) -> DataFrame:
-    """(doc_id, fp, probes, digest, n, prefix, b0, b1, ...): n, prefix and the parity bitmap are
-    of the ``set_shingle``-word set."""
+    """(doc_id, fp, probes, digest, n, prefix, long, b0, b1, ...): n, prefix and the parity
+    bitmaps are of the ``set_shingle``-word set."""
     common = np.empty(0, dtype=np.uint64) if common is None else common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +309,12 @@ def probed_fingerprints(
                 sizes = pa.array([len(x) for x in sets], pa.int32())
                 prefixes = pa.array([_prefix(x, common, least).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 bits = [pa.array(x) for x in np.ascontiguousarray(np.stack([_parity(x) for x in sets]).T)]
+                long = pa.array([_long_parity(x) for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(_pack(votes).view(np.int64)), keys, digests, sizes, prefixes, *bits], names=["doc_id", "fp", "probes", "digest", "n", "prefix", *_BITS]
+                    [b.column(0), pa.array(_pack(votes).view(np.int64)), keys, digests, sizes, prefixes, long, *bits], names=["doc_id", "fp", "probes", "digest", "n", "prefix", "long", *_BITS]
                 )
 
-    schema = "doc_id long, fp long, probes array<long>, digest binary, n int, prefix array<long>, " + ", ".join(f"{x} long" for x in _BITS)
+    schema = "doc_id long, fp long, probes array<long>, digest binary, n int, prefix array<long>, long binary, " + ", ".join(f"{x} long" for x in _BITS)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -542,7 +554,22 @@ def _left_apart(classes: DataFrame, near: DataFrame, similarity: float, crowd: i
     if not crowds.isEmpty():
         keyed = keyed.unionByName(_crowd_blocks(rows.join(crowds, "shingle", "left_semi"), crowd))
     keyed = keyed.join(classes.select(F.col("id").alias("i"), *_BITS), F.col("id") == F.col("i")).select("key", "component", "side", "id", "n", "place", *_BITS)
-    return keyed.repartition("key").sortWithinPartitions("key", "component").mapInArrow(_meet(similarity), "left_id long, right_id long").distinct()
+    met = keyed.repartition("key").sortWithinPartitions("key", "component").mapInArrow(_meet(similarity), "left_id long, right_id long").distinct()
+    long = lambda side: classes.where("long is not null").select(F.col("id").alias(f"{side}_i"), F.col("n").alias(f"{side}_n"), F.col("long").alias(side))
+    both = met.join(long("a"), F.col("left_id") == F.col("a_i"), "left").join(long("b"), F.col("right_id") == F.col("b_i"), "left")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            ok = [
+                not x.is_valid or not y.is_valid or _long_apart(x.as_py(), y.as_py()) * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6
+                for n, m, x, y in zip(*sizes, b.column(4), b.column(5))
+            ]
+            yield b.select(["left_id", "right_id"]).filter(pa.array(ok, pa.bool_()))
+
+    out = materialize(both.select("left_id", "right_id", "a_n", "b_n", "a", "b").mapInArrow(allowed, "left_id long, right_id long"), "left-apart")
+    release(rows)
+    return out
 
 
 def _alike(left: str | None, right: str | None, shingle: int, least: float) -> bool:
@@ -570,7 +597,9 @@ def _decided(docs: DataFrame, pairs: DataFrame, key: str, text: str, shingle: in
 
     side = lambda k, t: texts.select(F.col("i").alias(k), F.col("t").alias(t))
     both = named.join(side("left_id", "a"), "left_id").join(side("right_id", "b"), "right_id").select("left_id", "right_id", "a", "b")
-    return materialize(both.mapInArrow(decide, "left_id long, right_id long"), "alike")
+    out = materialize(both.mapInArrow(decide, "left_id long, right_id long"), "alike")
+    release(texts)
+    return out
 
 
 def similar_groups(
@@ -595,7 +624,7 @@ def similar_groups(
     of the first few of each (prefix filtering). Shingles that many documents have stand
     last in that order, so documents on one template rarely meet by it. Only shingles of two
     components or more are looked at, in blocks of a bounded size, and of two sets that meet
-    a bitmap each tells nearly always whether they can be alike; texts move for the others.
+    bitmaps tell nearly always whether they can be alike; texts move for the others.
     """
     n = docs.count()
     blocks, turned = (blocks, turned) if blocks else (3, 4) if n < 10_000_000 else (2, 7)
@@ -603,7 +632,9 @@ def similar_groups(
     every = materialize(probed_fingerprints(docs, key, text, 3, blocks, turned, shingle, similarity, common), "fingerprints")
     least = every.groupBy("digest").agg(F.min("doc_id").alias("least"))
     firsts = every.join(least, "digest").where(F.col("doc_id") == F.col("least")).dropDuplicates(["digest"])
-    classes = materialize(firsts.select("digest", F.col("doc_id").alias("id"), "fp", "probes", "n", "prefix", *_BITS), "classes")
+    classes = materialize(firsts.select("digest", F.col("doc_id").alias("id"), "fp", "probes", "n", "prefix", "long", *_BITS), "classes")
+    wide, every = every, materialize(every.select("doc_id", "digest"), "digests")
+    release(wide)
     leads = materialize(classes.groupBy("fp").agg(F.min_by(F.struct("id", "probes"), "id").alias("m")).select("fp", F.col("m.id").alias("least"), "m.probes"), "leads")
     spread = leads.select(F.explode("probes").alias("probe"), "fp").repartition("probe").sortWithinPartitions("probe", "fp")
     proposed = spread.mapInArrow(_propose(most), "left long, right long").union(fingerprint_links(leads.select("fp")))

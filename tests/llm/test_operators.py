@@ -557,7 +557,7 @@ def test_crowded_shingles_lose_no_pair(spark):
         assert {r["doc_id"]: r["group"] for r in simhash.similar_groups(table, crowd=crowd).collect()} == want
     assert len(set(want.values())) > 20
     # without any help from fingerprints
-    classes = simhash.probed_fingerprints(table, "doc_id", "text").select(F.col("doc_id").alias("id"), "n", "prefix", *simhash._BITS)
+    classes = simhash.materialize(simhash.probed_fingerprints(table, "doc_id", "text"), "c").select(F.col("doc_id").alias("id"), "n", "prefix", "long", *simhash._BITS)
     none = spark.createDataFrame([], "left_id long, right_id long")
     alike = {(a, b) for a in range(len(docs)) for b in range(a + 1, len(docs)) if simhash._alike(docs[a][1], docs[b][1], 5, 0.8)}
     for crowd in (5, 4096):
@@ -590,6 +590,12 @@ def test_bitmaps_bound_what_differs():
         b = np.concatenate((a[: n // 2], rng.integers(0, 2**63, size=n // 3).astype(np.uint64)))
         apart = int(np.bitwise_count((simhash._parity(a) ^ simhash._parity(b)).view(np.uint64)).sum())
         assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+    for n, m in ((513, 513), (1000, 1300), (3000, 2400), (20_000, 17_000)):
+        a = rng.integers(0, 2**63, size=n).astype(np.uint64)
+        for shared in (0, min(n, m)):
+            b = np.concatenate((a[:shared], rng.integers(0, 2**63, size=m - shared).astype(np.uint64)))
+            apart, real = simhash._long_apart(simhash._long_parity(a), simhash._long_parity(b)), len(set(a.tolist()) ^ set(b.tolist()))
+            assert apart <= real and (shared or apart > (n + m) / 9)
 
 
 def test_crowds_are_read_in_chunks():
