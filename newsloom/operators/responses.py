@@ -259,7 +259,7 @@ def pair_matrix(frame: DataFrame, origins: list[str], destinations: list[str], s
 
 
 def event_records(frame: DataFrame, limit: int) -> DataFrame:
-    """Covered events, fastest first, then the rest, largest first."""
+    """Covered events, fastest first, then the rest, largest first; ties by event and destination."""
     answered = F.col("covered") & F.col("response_hours").isNotNull()
-    order = [F.desc(answered), F.when(answered, F.col("response_hours")), F.when(~answered, -F.col("event_effective_reports")), "event_id"]
+    order = [F.desc(answered), F.when(answered, F.col("response_hours")), F.when(~answered, -F.col("event_effective_reports")), "event_id", "destination_country"]
     return frame.orderBy(*order).limit(limit).select(*RECORD_COLUMNS)

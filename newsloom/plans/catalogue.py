@@ -339,16 +339,6 @@ def weighted_themes(spark: SparkSession, d: str) -> DataFrame:
     return top.select("l_suppkey", F.array_join("t.theme", "|").alias("top_themes"), F.round(F.aggregate("t.weight", F.lit(0.0), lambda a, x: a + x), 4).alias("weight"))
 
 
-@query("""SELECT l_partkey, count(*) AS document_count, count(DISTINCT l_suppkey) AS source_count, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, round(avg((l_returnflag = 'R')::INT), 6) AS returned,
-  min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, string_agg(DISTINCT l_orderkey::VARCHAR, '|' ORDER BY l_orderkey::VARCHAR) AS document_ids FROM lineitem GROUP BY 1""")
-def atomic_events(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.transform(F.collect_set("l_orderkey"), lambda x: x.cast("string"))), "|")
-    return _t(spark, d, "lineitem").groupBy("l_partkey").agg(
-        F.count("*").alias("document_count"), F.count_distinct("l_suppkey").alias("source_count"), _r(F.avg("l_quantity")).alias("mean"), F.median("l_quantity").alias("median"),
-        _r(F.avg((F.col("l_returnflag") == "R").cast("int"))).alias("returned"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"), ids.alias("document_ids"),
-    )
-
-
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS cluster, l_orderkey, l_partkey AS entity FROM lineitem), c AS (SELECT cluster, entity, count(*) AS n FROM e GROUP BY 1, 2),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, entity) AS r FROM c) WHERE r <= 3), s AS (SELECT l_suppkey AS cluster, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
 v AS (SELECT cluster, count(DISTINCT l_orderkey) AS c FROM e JOIN t USING (cluster, entity) GROUP BY 1) SELECT cluster, round(coalesce(c, 0) / s.n, 6) AS entity_coherence FROM s LEFT JOIN v USING (cluster)""")
@@ -364,11 +354,6 @@ def top_list(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_list(rows, "cluster", "parts", 5).withColumn("parts", _joined(F.col("parts")))
 
 
-@query("SELECT c_nationkey, median(c_acctbal) AS lat, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
-def centroid_median(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy("c_nationkey").agg(F.median("c_acctbal").alias("lat"), F.count("*").alias("n"))
-
-
 @query("""SELECT o_custkey AS family_id, string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_totalprice DESC, o_orderkey) AS macro_event_ids, arg_max(o_orderpriority, (o_totalprice, -o_orderkey)) AS title, arg_max(o_orderstatus, (o_totalprice, -o_orderkey)) AS label,
   count(*) AS incident_count, round(sum(o_totalprice), 2) AS effective_reports, min(o_orderdate) AS start_time, max(o_orderdate) AS end_time FROM orders GROUP BY 1""")
 def families_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -379,21 +364,6 @@ def families_rollup(spark: SparkSession, d: str) -> DataFrame:
     return families.rollup(o).drop("raw_documents").withColumns({"macro_event_ids": _joined(F.col("macro_event_ids")), "effective_reports": _r("effective_reports", 2)})
 
 
-@query("""WITH t AS (SELECT l_suppkey AS cluster, l_orderkey AS document_id, CASE WHEN regexp_matches(p_type, '^STANDARD') THEN 'plain' WHEN regexp_matches(p_type, '^PROMO') THEN 'offer' WHEN regexp_matches(p_type, '^SMALL|^MEDIUM|^LARGE') THEN 'sized' END AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
-s AS (SELECT l_suppkey AS cluster, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1), h AS (SELECT cluster, type, count(DISTINCT document_id) / any_value(n) AS share FROM t JOIN s USING (cluster) WHERE type IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY share DESC, type) AS r FROM h WHERE share >= 0.1) SELECT cluster, string_agg(type, '|' ORDER BY r) AS event_types, round(sum(share), 6) AS share FROM r WHERE r <= 3 GROUP BY 1""")
-def event_types(spark: SparkSession, d: str) -> DataFrame:
-    """Type shares by a rule table, as for themes: the best three of each cluster."""
-    t = F.col("p_type")
-    kind = F.when(t.rlike("^STANDARD"), "plain").when(t.rlike("^PROMO"), "offer").when(t.rlike("^SMALL|^MEDIUM|^LARGE"), "sized")
-    li, part = _t(spark, d, "lineitem"), _t(spark, d, "part")
-    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("cluster"), "l_orderkey", kind.alias("type")).where("type is not null")
-    n = li.groupBy(F.col("l_suppkey").alias("cluster")).agg(F.count_distinct("l_orderkey").alias("n"))
-    shares = rows.groupBy("cluster", "type").agg(F.count_distinct("l_orderkey").alias("c")).join(n, "cluster").withColumn("share", F.col("c") / F.col("n")).where("share >= 0.1")
-    top = ranking.gathered(ranking.top_per_key(shares, ["cluster"], [F.desc("share"), "type"], 3, "r"), ["cluster"], F.struct("type", "share"), "t")
-    return top.select("cluster", F.array_join("t.type", "|").alias("event_types"), _r(F.aggregate("t.share", F.lit(0.0), lambda a, x: a + x)).alias("share"))
-
-
 @query("""WITH c AS (SELECT 'c_custkey' AS "column", count(*) AS rows, count(*) FILTER (c_custkey IS NULL) AS nulls, count(DISTINCT c_custkey) AS "distinct" FROM customer UNION ALL SELECT 'c_nationkey', count(*), count(*) FILTER (c_nationkey IS NULL), count(DISTINCT c_nationkey) FROM customer
 UNION ALL SELECT 'c_mktsegment', count(*), count(*) FILTER (c_mktsegment IS NULL), count(DISTINCT c_mktsegment) FROM customer) SELECT "column", rows, nulls, nulls / greatest(rows, 1) AS null_rate, "distinct" FROM c""")
 def audit_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -529,19 +499,8 @@ def vector_centering(spark: SparkSession, d: str) -> DataFrame:
     return done.select("id", "label", _r(weighted).alias("weighted"), _r(F.array_max("vector")).alias("largest"))
 
 
-@query(f"WITH {_VEC} SELECT a.label AS group_left, b.label AS group_right, round(least(greatest(quantile_cont(list_dot_product(a.vector, b.vector), 0.9), 0.0), 0.99), 6) AS quantile, count(*) AS pairs FROM v a JOIN v b ON a.label <= b.label AND a.id <> b.id WHERE a.id % 5 = b.label AND b.id % 5 = a.label GROUP BY 1, 2")
-def background_quantile(spark: SparkSession, d: str) -> DataFrame:
-    """Over pairs of rows whose ids' last digits name each other's label: a rule of the statistic, both for queries and SQL."""
-    rows = _vec(spark, d)
-    a = rows.select(F.col("label").alias("group_left"), F.col("id").alias("kl"), F.col("vector").alias("vl"), (F.col("id") % 5).alias("ml"))
-    b = rows.select(F.col("label").alias("group_right"), F.col("id").alias("kr"), F.col("vector").alias("vr"), (F.col("id") % 5).alias("mr"))
-    met = a.join(b, (F.col("ml") == F.col("group_right")) & (F.col("mr") == F.col("group_left")) & (F.col("group_left") <= F.col("group_right")) & (F.col("kl") != F.col("kr")))
-    q = F.percentile(vectors.dot(F.col("vl"), F.col("vr")), 0.9)
-    return met.groupBy("group_left", "group_right").agg(_r(vectors.clip(q, 0.0, 0.99)).alias("quantile"), F.count("*").alias("pairs"))
-
-
 @query(f"WITH {_VEC} SELECT a.label AS group_left, b.label AS group_right, round(least(greatest(quantile_cont(list_dot_product(a.vector, b.vector), 0.9), 0.0), 0.99), 6) AS quantile, count(*) AS pairs FROM v a JOIN v b ON a.label <= b.label AND a.id <> b.id GROUP BY 1, 2")
-def background_quantile_all(spark: SparkSession, d: str) -> DataFrame:
+def background_quantile(spark: SparkSession, d: str) -> DataFrame:
     """Over all pairs of rows of every two labels."""
     return vectors.pair_background(_vec(spark, d), "label").withColumn("quantile", _r("quantile"))
 
@@ -813,10 +772,8 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_OBS}, x AS (SELECT *, covered AND response_hours IS NOT NULL AS ans FROM obs WHERE origin_country <> destination_country) SELECT event_id, origin_country, destination_country, round(response_hours, 6) AS response_hours, covered FROM x ORDER BY ans DESC, CASE WHEN ans THEN response_hours END, CASE WHEN NOT ans THEN -size END, event_id, destination_country LIMIT 40")
 def event_records(spark: SparkSession, d: str) -> DataFrame:
     """The first 40 records, covered and fastest first: the limit is the feature."""
-    rows = responses.foreign(_observations(spark, d))
-    answered = F.col("covered") & F.col("response_hours").isNotNull()
-    order = [F.desc(answered), F.when(answered, F.col("response_hours")), F.when(~answered, -F.col("event_effective_reports")), "event_id", "destination_country"]
-    return rows.orderBy(*order).limit(40).select("event_id", "origin_country", "destination_country", _r("response_hours").alias("response_hours"), "covered")
+    rows = responses.event_records(responses.foreign(_observations(spark, d)), 40)
+    return rows.select("event_id", "origin_country", "destination_country", _r("response_hours").alias("response_hours"), "covered")
 
 
 # ---------------------------------------------------------------- search
@@ -869,3 +826,7 @@ def type_list(spark: SparkSession, d: str) -> DataFrame:
   round(median(lag_hours), 6) AS median_lag_hours, count(lag_hours) AS events_with_onset, round(sum(raw_documents) / any_value(country_documents), 6) AS share_of_country_output FROM summary JOIN base USING (publisher_country) GROUP BY 1 HAVING count(*) >= 3 AND any_value(country_documents) >= 100""")
 def type_countries(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(serving.type_countries(_countries(spark, d)[1], 3, 100))
+
+
+# registers the queries of the news chain beside these
+from newsloom.plans import catalogue_news  # noqa: E402, F401

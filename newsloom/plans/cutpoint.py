@@ -29,18 +29,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 _roots: set[str] = set()
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder. One folder holds all of an application's; it goes
+    when the Python process ends."""
+    root = f"{shared_dir(spark)}/newsloom/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_quietly_delete, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
 
-    A lost executor makes Spark reread files, not recompute what came before. One folder
-    holds all tables of an application; it goes when the Python process ends.
+    A lost executor makes Spark reread files, not recompute what came before.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/newsloom/{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_quietly_delete, spark, root)
-    path = f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._newsloom_path = path
