@@ -152,3 +152,17 @@ MAGNITUDE_BINS = (
     ("100-499 effective reports", 100, 500),
     ("500+ effective reports", 500, None),
 )
+
+# -- fixed values: output columns of the response tables ---------------------------
+OBSERVATION_COLUMNS = [
+    "level", "event_id", "family_id", "title", "event_start", "event_end", "start_truncated", "event_types", "event_documents",
+    "event_effective_reports", "resolution_model", "origin_country", "origin_share", "destination_country", "is_domestic", "origin_onset",
+    "destination_onset", "world_onset", "response_hours_origin", "response_hours_world", "self_response_hours", "response_reference",
+    "response_hours", "has_documents", "covered", "suppressed", "censor_hours", "raw_documents", "unique_domains", "effective_reports",
+    "attention_ratio",
+]
+RECORD_COLUMNS = [
+    "level", "event_id", "family_id", "title", "event_start", "event_types", "event_effective_reports", "origin_country", "destination_country",
+    "origin_onset", "destination_onset", "world_onset", "response_hours", "response_reference", "covered", "suppressed", "has_documents",
+    "censor_hours", "raw_documents", "effective_reports", "attention_ratio",
+]

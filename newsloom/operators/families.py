@@ -53,6 +53,13 @@ def overlap_pairs(features: DataFrame, group: str = "incident_id", most: int | N
     )
 
 
+def sharing(pairs: DataFrame, features: DataFrame, group: str = "incident_id") -> DataFrame:
+    """(left, right) of the ``pairs`` that share a feature: each pair's features only, however
+    many groups a feature has."""
+    a, b = (features.select(F.col(group).alias(side), "feature").distinct() for side in ("left", "right"))
+    return pairs.select("left", "right").join(a, "left").join(b, ["right", "feature"], "left_semi").select("left", "right").distinct()
+
+
 def spans(members: DataFrame, group: str = "incident_id", at: str = "first_seen") -> DataFrame:
     return members.where(F.col(group) >= 0).groupBy(group).agg(F.min(at).alias("start"), F.max(at).alias("end"))
 
@@ -94,7 +101,7 @@ def title_links(
         .where(F.col("weight") >= least).select("left", "right", "weight")
     )
     near = within_gap(scored, span, hours)
-    shared = overlap_pairs(corroboration(members, links, channels)).select("left", "right", F.lit(True).alias("shares"))
+    shared = sharing(near, corroboration(members, links, channels)).withColumn("shares", F.lit(True))
     return near.join(shared, ["left", "right"], "left").where((F.col("weight") >= strong) | F.col("shares")).select("left", "right", "weight")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.core import empty_if_null
-from newsloom.functions.fixed import MAGNITUDE_BINS
+from newsloom.functions.fixed import MAGNITUDE_BINS, OBSERVATION_COLUMNS, RECORD_COLUMNS
 from newsloom.functions.times import hours_between
 from newsloom.operators.ranking import gathered, top_per_key
 
@@ -20,18 +20,6 @@ SEED = 2026
 RESAMPLES = 1000
 LEVELS = ("family", "incident")
 REFERENCES = ("origin_preferred", "origin_only", "world")
-OBSERVATION_COLUMNS = [
-    "level", "event_id", "family_id", "title", "event_start", "event_end", "start_truncated", "event_types", "event_documents",
-    "event_effective_reports", "resolution_model", "origin_country", "origin_share", "destination_country", "is_domestic", "origin_onset",
-    "destination_onset", "world_onset", "response_hours_origin", "response_hours_world", "self_response_hours", "response_reference",
-    "response_hours", "has_documents", "covered", "suppressed", "censor_hours", "raw_documents", "unique_domains", "effective_reports",
-    "attention_ratio",
-]
-RECORD_COLUMNS = [
-    "level", "event_id", "family_id", "title", "event_start", "event_types", "event_effective_reports", "origin_country", "destination_country",
-    "origin_onset", "destination_onset", "world_onset", "response_hours", "response_reference", "covered", "suppressed", "has_documents",
-    "censor_hours", "raw_documents", "effective_reports", "attention_ratio",
-]
 
 
 def dominant_origin(events: DataFrame, keys: tuple[str, ...] = ("family_id",)) -> DataFrame:
@@ -175,16 +163,19 @@ def median_interval(values: np.ndarray, seed: int = SEED, samples: int = RESAMPL
     ordered = np.sort(np.asarray(values, dtype=np.float64))
     if len(ordered) < 2:
         return (float(ordered[0]),) * 2 if len(ordered) else (np.nan, np.nan)
-    drawn = np.random.default_rng(seed).integers(0, len(ordered), size=(samples, len(ordered)))
-    low, high = np.percentile(np.median(ordered[drawn], axis=1), [2.5, 97.5])
+    # as many samples at a time as some millions of draws allow
+    rng, chunk = np.random.default_rng(seed), max(1, 4_000_000 // len(ordered))
+    sizes = [min(chunk, samples - at) for at in range(0, samples, chunk)]
+    medians = np.concatenate([np.median(ordered[rng.integers(0, len(ordered), size=(n, len(ordered)))], axis=1) for n in sizes])
+    low, high = np.percentile(medians, [2.5, 97.5])
     return float(low), float(high)
 
 
 def bootstrap_median(frame: DataFrame, keys: list[str], value: str, support: Support = Support()) -> DataFrame:
     """(keys, latency_ci_low, latency_ci_high) per group.
 
-    A group is one pair's observations, an event each: its size is the number of events,
-    and a task holds ``bootstrap_samples`` times that many numbers.
+    A group is one pair's observations, an event each: its size is the number of events.
+    A task holds those and some millions of draws at a time.
     """
     kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
 

@@ -58,8 +58,14 @@ def tfidf(rows: DataFrame, nodes: DataFrame | int, node: str = "node", feature:
     return rows.join(idf, feature).select(node, feature, (F.col("w") / length).alias("weight"))
 
 
-def cosine_pairs(weights: DataFrame, node: str = "node", feature: str = "feature") -> DataFrame:
-    """(left, right, score) of every pair that shares a feature, left < right."""
+def cosine_pairs(weights: DataFrame, node: str = "node", feature: str = "feature", most: int | None = 2_000_000_000) -> DataFrame:
+    """(left, right, score) of every pair that shares a feature, left < right.
+
+    Features that would make more than ``most`` pairs together are refused before they
+    meet; None for weights that were counted already.
+    """
+    if most is not None:
+        guard(weights, most, feature, cap=1 << 62)
     a = weights.select(F.col(node).alias("left"), feature, F.col("weight").alias("wl"))
     b = weights.select(F.col(node).alias("right"), feature, F.col("weight").alias("wr"))
     return a.join(b, feature).where("left < right").groupBy("left", "right").agg(F.sum(F.col("wl") * F.col("wr")).alias("score"))
@@ -106,13 +112,14 @@ def channel_scores(pairs: DataFrame, weights: DataFrame, name: str, node: str =
     """``pairs`` with ``<name>_score``, ``<name>_min_features`` and ``<name>_both``.
 
     A node's features ride along as one map, so a pair costs two lookups by node and no
-    join by feature; the product is taken inside the row.
+    join by feature; the product is taken inside the row, over the features that an
+    intersection by hash finds shared.
     """
     vec = weights.groupBy(F.col(node).alias("_n")).agg(F.map_from_entries(F.collect_list(F.struct(feature, "weight"))).alias("_v"))
     side = lambda k: vec.withColumnsRenamed({"_n": k, "_v": f"_v{k}"})
     joined = pairs.join(side("left"), "left", "left").join(side("right"), "right", "left")
-    shared = F.map_filter("_vleft", lambda k, v: F.map_contains_key("_vright", k))
-    dot = F.aggregate(F.map_entries(shared), F.lit(0.0), lambda a, e: a + e["value"] * F.element_at("_vright", e["key"]))
+    shared = F.array_intersect(F.map_keys("_vleft"), F.map_keys("_vright"))
+    dot = F.aggregate(shared, F.lit(0.0), lambda a, k: a + F.element_at("_vleft", k) * F.element_at("_vright", k))
     size = lambda c: F.coalesce(F.cardinality(c), F.lit(0))
     least = F.least(size("_vleft"), size("_vright"))
     return (

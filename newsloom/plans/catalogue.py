@@ -417,14 +417,18 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     return similarity.fan_out(_bipartite(spark, d))
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    weights = materialize(similarity.tfidf(_bipartite(spark, d), _t(spark, d, "orders")), "weights")  # both sides of the join
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    """A written table: both sides of the join read it, and the scores after that."""
+    return materialize(similarity.tfidf(_bipartite(spark, d), _t(spark, d, "orders")), "weights")
+
+
+def _near(weights: DataFrame) -> DataFrame:
     return similarity.nearest(similarity.cosine_pairs(weights), 5, 9)
 
 
 @query(f"WITH {_TFIDF} SELECT node, neighbor, score, rank::INT AS rank FROM near")
 def tfidf_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d)
+    return _near(_weights(spark, d))
 
 
 _UNION = f"""{_TFIDF}, second AS (SELECT DISTINCT a.l_orderkey AS "left", b.l_orderkey AS "right" FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_quantity = b.l_quantity AND a.l_shipdate = b.l_shipdate AND a.l_orderkey < b.l_orderkey),
@@ -433,8 +437,8 @@ pairs AS (SELECT "left", "right", bool_or(c = 'event') AS from_event, bool_or(c
 timed AS (SELECT p.*, abs(date_diff('second', a.o_orderdate, b.o_orderdate)) / 3600.0 AS delta_hours FROM pairs p JOIN orders a ON a.o_orderkey = "left" JOIN orders b ON b.o_orderkey = "right" WHERE abs(date_diff('second', a.o_orderdate, b.o_orderdate)) / 3600.0 <= 2400)"""
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    near = _near(spark, d).select(F.col("node").alias("left"), F.col("neighbor").alias("right"))
+def _candidates(spark: SparkSession, d: str, weights: DataFrame) -> DataFrame:
+    near = _near(weights).select(F.col("node").alias("left"), F.col("neighbor").alias("right"))
     li = _t(spark, d, "lineitem")
     a = li.select(F.col("l_orderkey").alias("left"), "l_suppkey", "l_quantity", "l_shipdate")
     b = li.select(F.col("l_orderkey").alias("right"), "l_suppkey", "l_quantity", "l_shipdate")
@@ -444,7 +448,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f'WITH {_UNION} SELECT "left", "right", from_event, from_url, round(delta_hours, 6) AS delta_hours FROM timed')
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d).withColumn("delta_hours", _r("delta_hours"))
+    return _candidates(spark, d, _weights(spark, d)).withColumn("delta_hours", _r("delta_hours"))
 
 
 @query(f"""WITH {_UNION}, r2 AS (SELECT DISTINCT l_orderkey AS node, l_suppkey AS feature FROM lineitem), i2 AS (SELECT feature, ln((n + 1) / (count(*) + 1)) + 1 AS w FROM r2, alln GROUP BY feature, n HAVING count(*) <= 2000),
@@ -457,10 +461,11 @@ scored AS (SELECT t."left", t."right", least(1.0, coalesce(s1.s, 0.0)) AS e, lea
 fused AS (SELECT *, (e * 1.5 + u * 1.0) / nullif((ef > 0)::INT * 1.5 + (uf > 0)::INT, 0) AS c, (e >= 0.05)::INT + (u >= 0.2)::INT AS ch, (e >= 0.8 AND ef >= 2) OR (u >= 0.8 AND uf >= 2) AS strong FROM scored)
 SELECT "left", "right", round(e, 6) AS event_score, round(u, 6) AS url_score, round(coalesce(c, 0.0), 6) AS combined, ch AS evidence_channels, strong AS single_channel_strong, round(CASE WHEN ch >= 2 OR strong THEN coalesce(c, 0.0) ELSE 0.0 END, 6) AS gated FROM fused""")
 def pair_scores_gate(spark: SparkSession, d: str) -> DataFrame:
-    pairs, orders = _candidates(spark, d), _t(spark, d, "orders")
+    weights, orders = _weights(spark, d), _t(spark, d, "orders")
+    pairs = materialize(_candidates(spark, d, weights), "candidates")
     suppliers = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("feature")).distinct()
-    for name, rows in (("event", _bipartite(spark, d)), ("url", suppliers)):
-        pairs = similarity.channel_scores(pairs, similarity.tfidf(rows, orders), name)
+    for name, w in (("event", weights), ("url", similarity.tfidf(suppliers, orders))):
+        pairs = similarity.channel_scores(pairs, w, name)
     gated = similarity.apply_gate(pairs.withColumn("combined", similarity.combined_score(["event", "url"])), ["event", "url"])
     return gated.select("left", "right", *[_r(c).alias(c) for c in ("event_score", "url_score", "combined")], "evidence_channels", "single_channel_strong", _r("gated").alias("gated"))
 

@@ -312,7 +312,7 @@ def macro_event_documents(spark: SparkSession, d: str) -> DataFrame:
     events = membership.select("incident_id").distinct().where("incident_id < 50").withColumn("macro_event_id", F.col("incident_id") * 2)
     links = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("GlobalEventID")).agg(F.max("l_quantity").alias("confidence"), F.max("l_linenumber").alias("in_raw_text"))
     out = store.event_documents(docs, membership, events, links)
-    return out.select("macro_event_id", "document_id", "incident_id", F.col("global_event_id").alias("event"), "confidence", "source_domain", _time("observed_time"), "is_primary")
+    return out.select("macro_event_id", "document_id", "incident_id", F.col("GlobalEventID").alias("event"), "confidence", "source_domain", _time("observed_time"), "is_primary")
 
 
 @query(f"WITH {_DOCUMENTS} SELECT count(*) AS documents, count(DISTINCT wire) AS effective_reports, min(first_seen) AS window_start, max(last_seen) AS window_end, (SELECT count(*) FROM customer) AS macro_events, (SELECT count(DISTINCT c_nationkey) FROM customer) AS families FROM docs")

@@ -134,7 +134,7 @@ def article_pairs(nodes: DataFrame, channels: Mapping[str, DataFrame], s: Articl
         cap = (caps or {}).get(name, s.cap)
         similarity.guard(rows, s.most_contributions, cap=cap)
         weights[name] = similarity.tfidf(rows, nodes, cap=cap)
-        near = similarity.nearest(similarity.cosine_pairs(weights[name]), s.neighbours)
+        near = similarity.nearest(similarity.cosine_pairs(weights[name], most=None), s.neighbours)
         proposed[name] = near.select(F.col("node").alias("left"), F.col("neighbor").alias("right"))
     pairs = similarity.candidate_union(proposed)
     for name, w in weights.items():

@@ -111,7 +111,7 @@ def resolve(documents: DataFrame, links: DataFrame, vectors_table: DataFrame | N
             r = materialize(r, f"{name}-rows")
             similarity.guard(r, s.most_contributions, cap=s.feature_cap)
             channels[name] = materialize(similarity.tfidf(r, documents, cap=s.feature_cap), f"{name}-weights")
-            near = similarity.nearest(similarity.cosine_pairs(channels[name]), s.neighbours)
+            near = similarity.nearest(similarity.cosine_pairs(channels[name], most=None), s.neighbours)
             proposed[name] = near.select(F.col("node").alias("left"), F.col("neighbor").alias("right"))
         if titles is not None:
             found = vectors.knn(titles, s.neighbours, s.title_least)

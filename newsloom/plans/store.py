@@ -65,12 +65,12 @@ def macro_events(members: DataFrame, links: DataFrame, model: str, least: tuple[
 def event_documents(documents: DataFrame, membership: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
     """Every membership of every document; -1 where its incident isn't a macro event."""
     first = top_per_key(links, ["document_id"], [F.col("confidence").desc_nulls_first(), "GlobalEventID"]).select(
-        "document_id", F.col("GlobalEventID").alias("global_event_id"), "confidence", "in_raw_text"
+        "document_id", "GlobalEventID", "confidence", "in_raw_text"
     )
     return (
         membership.join(events.select("incident_id", "macro_event_id"), "incident_id", "left").join(documents, "document_id").join(first, "document_id", "left")
         .select(
-            F.coalesce("macro_event_id", F.lit(-1)).alias("macro_event_id"), "document_id", "incident_id", "family_id", "assignment_score", "is_primary", "global_event_id",
+            F.coalesce("macro_event_id", F.lit(-1)).alias("macro_event_id"), "document_id", "incident_id", "family_id", "assignment_score", "is_primary", "GlobalEventID",
             F.col("canonical_url").alias("url"), "title", "language", F.col("domain").alias("source_domain"), "publisher_country", "publisher_country_confidence",
             F.col("first_seen").alias("observed_time"), "confidence", "in_raw_text", "wire_group",
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from datetime import datetime
@@ -123,8 +124,16 @@ def read_strict(spark: SparkSession, paths: Sequence[str], columns: Sequence[str
     return rows, counts
 
 
+def _glob_regex(pattern: str) -> str:
+    """A file pattern of ``*`` and ``?`` as a regular expression."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
 def glob_scan(spark: SparkSession, directory: str, pattern: str, columns: Sequence[str]) -> DataFrame:
     """All files of a pattern, no quoting; none is an error."""
+    names = listing(spark, directory).select("name").where(F.col("name").rlike(_glob_regex(pattern)))
+    if names.isEmpty():
+        raise MissingFiles(f"no file in {directory} fits {pattern}")
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.schema(schema).option("pathGlobFilter", pattern).csv(directory, sep="\t", quote="", mode="PERMISSIVE")
 
