@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text, urls
 from newsloom.functions.fixed import CAMEO_ROOT_TYPES, EVENT_COLUMNS, EVENT_ROOT_CODES, GKG_COLUMNS, LABEL_STOP, MENTION_COLUMNS, TLD_COUNTRIES
 from newsloom.operators import attention, families, filters, similarity
-from newsloom.plans import catalogue, documents, ingest, store
+from newsloom.plans import catalogue, documents, explorer, ingest, payloads, store
 from newsloom.plans.catalogue import query
 from newsloom.plans.cutpoint import materialize, scratch
 from newsloom.sources import raw, sinks
@@ -361,3 +361,34 @@ def sinks_read_back(spark: SparkSession, d: str) -> DataFrame:
 def retained_orders(spark: SparkSession, d: str) -> DataFrame:
     resolved = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, "X").alias("publisher_country"), (F.col("o_totalprice") / 300000).alias("publisher_country_confidence"))
     return filters.country_resolved(resolved, 0.5).select("o_orderkey")
+
+
+# ---------------------------------------------------------------- places and titles
+
+
+@query("""WITH found AS (SELECT DISTINCT o_orderkey, o_totalprice AS tone, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'),
+located AS (SELECT 'u' || o_orderkey AS url, tone, 'P' || p_size AS name, p_partkey, p_type AS root FROM found JOIN part ON p_partkey = l_partkey WHERE p_partkey % 7 <> 0 AND p_size % 10 <> 0),
+u AS (SELECT name, string_agg(url, '|' ORDER BY url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY url) AS r FROM (SELECT DISTINCT name, url FROM located)) WHERE r <= 5 GROUP BY 1),
+m AS (SELECT name, root AS theme, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, root) AS r FROM located GROUP BY 1, 2)
+SELECT name, (min(p_partkey) % 90)::DOUBLE AS lat, (min(p_partkey) % 180)::DOUBLE AS lon, count(DISTINCT url) AS "count", round(round(avg(tone), 3), 1) AS tone, any_value(m.theme) AS theme, any_value(urls) AS urls FROM located JOIN u USING (name) JOIN (SELECT name, theme FROM m WHERE r = 1) m USING (name) GROUP BY 1""")
+def geo_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of open orders' parts; 500 places at most is the feature."""
+    li, o = _t(spark, d, "lineitem"), _t(spark, d, "orders").where("o_orderstatus = 'P'")
+    ids = li.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("eventids"))
+    found = o.join(ids, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("u"), _s("o_orderkey")).alias("url"), F.lit("t").alias("title"), F.col("o_totalprice").alias("tone"), "eventids")
+    k = F.col("p_partkey")
+    events = _t(spark, d, "part").select(
+        k.alias("GlobalEventID"), F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("P"), _s("p_size"))).otherwise("").alias("ActionGeo_FullName"), F.when(k % 7 != 0, (k % 90).cast("double")).alias("ActionGeo_Lat"),
+        (k % 180).cast("double").alias("ActionGeo_Long"), F.col("p_type").alias("root_label"),
+    )
+    return explorer.places(found, events).select(F.col("ActionGeo_FullName").alias("name"), "lat", "lon", "count", _r("tone", 1).alias("tone"), "theme", _joined(F.col("urls")).alias("urls"))
+
+
+@query("SELECT o_orderkey AS document_id, (o_custkey % 100)::DOUBLE AS first, len(o_orderpriority || (o_custkey % 100)::VARCHAR)::DOUBLE AS second FROM orders WHERE o_orderstatus <> 'O'")
+def title_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every different title goes through the encoder once; here the encoder is an expression."""
+    title = F.when(F.col("o_orderstatus") != "O", F.concat("o_orderpriority", _s(F.col("o_custkey") % 100)))
+    docs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), title.alias("title"))
+    number = F.regexp_extract("title", r"(\d+)$", 1).cast("double")
+    vec = payloads.title_vectors(docs, lambda t: t.withColumn("vector", F.array(number, F.length("title").cast("double"))))
+    return vec.select("document_id", F.col("vector")[0].alias("first"), F.col("vector")[1].alias("second"))

@@ -167,7 +167,7 @@ def test_background_over_all_pairs(spark, sf_dir):
         if len(c):
             want[x, y] = (len(c), float(np.clip(np.quantile(c, 0.9), 0, 0.99)))
     rows = frame(spark, [(r["vec_id"], r["label"], [float(x) for x in r["embedding"]]) for r in plain], "id long, label long, vector array<double>")
-    for got in (catalogue.QUERIES["background_quantile_all"](spark, sf_dir), vectors.pair_background(rows, "label", block=17)):
+    for got in (catalogue.QUERIES["background_quantile"](spark, sf_dir), vectors.pair_background(rows, "label", block=17)):
         found = {(r["group_left"], r["group_right"]): (r["pairs"], r["quantile"]) for r in got.collect()}
         assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-5 for k in want)
 
