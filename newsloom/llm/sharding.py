@@ -1,4 +1,4 @@
-"""Sharding by global byte-size prefix sums.
+"""Sharding by corpus-wide byte-size prefix sums.
 
 Rows are ordered by range partitioning; each partition reports one total; the running
 sum of those totals plus the running sum inside a partition is every document's place in
