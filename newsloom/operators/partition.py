@@ -3,8 +3,8 @@
 Under the constant Potts model, joining unconnected parts only costs, so components
 never interact and each is solved on its own: an exact split of the problem. Modularity's
 null term needs one number of the whole graph, its total weight. Components within
-``most_edges`` are solved one by one in tasks; larger ones by rounds of parallel local
-moving over DataFrames, where nothing is gathered.
+``most_edges`` are solved one by one in tasks; larger ones level by level too, by rounds of
+parallel local moving over DataFrames, where nothing is gathered.
 """
 
 from __future__ import annotations
@@ -135,13 +135,17 @@ def quality(edges: DataFrame, labels: DataFrame, resolution: float, weight: str
     return inside.join(pairs).select((F.col("w") - F.lit(resolution) * F.col("p")).alias("objective"))
 
 
-def _spread_moving(edges: DataFrame, resolution: float, rounds: int, total: float | None) -> DataFrame:
-    """Parallel local moving: half of the nodes, by a hash of node and round, may move at once."""
+def _spread_moving(edges: DataFrame, nodes: DataFrame, cost: float, start: DataFrame | None = None, patience: int = 4) -> DataFrame:
+    """(x, m, c): parallel local moving; half of the nodes, by a hash of node and round, may move at once.
+
+    ``nodes``: (x, m). A round that doesn't raise the objective is taken back, and half as
+    many nodes may move in the next. Rounds go on until no node wants to move, or until
+    ``patience`` of them in a row were taken back.
+    """
     both = materialize(both_ways(edges.select("left", "right", "weight"), source="x", target="y"), "both")
-    mass = both.groupBy("x").agg((F.lit(1.0) if total is None else F.sum("weight")).alias("m"))
-    cost = resolution if total is None else resolution / (2 * total)
-    at = materialize(mass.select("x", "m", F.col("x").alias("c")), "labels")
-    for turn in range(rounds):
+    at = materialize(nodes.select("x", "m", F.col("x").alias("c")) if start is None else nodes.join(start.select("x", "c"), "x").select("x", "m", "c"), "labels")
+    best_at, best_worth, stale, turn = at, float("-inf"), 0, 0
+    while True:
         size = at.groupBy("c").agg(F.sum("m").alias("s"))
         pull = both.join(at.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("weight").alias("w"))
         own = at.select("x", "m", F.col("c").alias("own"))
@@ -150,20 +154,49 @@ def _spread_moving(edges: DataFrame, resolution: float, rounds: int, total: floa
             .withColumn("gain", F.col("w") - cost * F.col("m") * (F.col("s") - F.when(F.col("c") == F.col("own"), F.col("m")).otherwise(0.0)))
         )
         best = gains.groupBy("x", "m", "own").agg(
-            F.max_by("c", F.struct(F.round("gain", 12), (F.col("c") == F.col("own")).cast("int"), -F.col("c"))).alias("best")
+            F.max_by("c", F.struct(F.round("gain", 12), (F.col("c") == F.col("own")).cast("int"), -F.col("c"))).alias("best"),
+            F.max(F.when(F.col("c") == F.col("own"), F.col("w"))).alias("inside"),
         )
-        moved = F.when(F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(2)) == 0, F.col("best")).otherwise(F.col("own"))
-        after = materialize(best.select("x", "m", moved.alias("c"), (F.col("best") != F.col("own")).alias("wants")), "labels")
-        done = not after.where("wants").limit(1).count()
-        at = after.select("x", "m", "c")
-        if done:
+        moved = F.when(F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(2 << stale)) == 0, F.col("best")).otherwise(F.col("own"))
+        after = materialize(best.select("x", "m", moved.alias("c"), (F.col("best") != F.col("own")).alias("wants"), "inside"), "labels")
+        # what the labels before these moves are worth, and whether anyone would still move
+        one = after.agg(F.coalesce(F.sum("inside"), F.lit(0.0)).alias("inside"), F.coalesce(F.bool_or("wants"), F.lit(False)).alias("wants")).first()
+        worth = one["inside"] - cost * (size.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0)
+        if worth > best_worth + 1e-9:
+            best_at, best_worth, stale, at = at, worth, 0, after.select("x", "m", "c")
+            if not one["wants"]:
+                return best_at
+        else:
+            stale, at = stale + 1, best_at
+            if stale > patience:
+                return best_at
+        turn += 1
+
+
+def _spread_levels(edges: DataFrame, resolution: float, total: float | None) -> DataFrame:
+    """Move nodes, merge communities into one node each, and again, until nothing merges; then
+    move single nodes once more, from what was found."""
+    cost = resolution if total is None else resolution / (2 * total)
+    sides = both_ways(edges.select("left", "right", "weight"), source="x", target="y")
+    nodes = materialize(sides.groupBy("x").agg((F.lit(1.0) if total is None else F.sum("weight")).alias("m")), "nodes")
+    single, single_nodes, labels = edges, nodes, None
+    while True:
+        at = materialize(_spread_moving(edges, nodes, cost), "level")
+        labels = materialize(at.select("x", "c") if labels is None else labels.withColumnRenamed("c", "k").join(at.select(F.col("x").alias("k"), "c"), "k").select("x", "c"), "level-labels")
+        of = lambda side: at.select(F.col("x").alias(side), F.col("c").alias(f"c_{side}"))
+        met = edges.join(of("left"), "left").join(of("right"), "right").where("c_left <> c_right")
+        merged = met.groupBy(F.least("c_left", "c_right").alias("left"), F.greatest("c_left", "c_right").alias("right")).agg(F.sum("weight").alias("weight"))
+        fewer = materialize(at.groupBy(F.col("c").alias("x")).agg(F.sum("m").alias("m")), "nodes")
+        if fewer.count() == nodes.count():
             break
+        edges, nodes = materialize(merged, "merged"), fewer
+    at = _spread_moving(single, single_nodes, cost, labels)
     least = at.groupBy("c").agg(F.min("x").alias("community"))
     return at.join(least, "c").select(F.col("x").alias("node"), "community")
 
 
 def communities(
-    edges: DataFrame, resolution: float = 0.05, weight: str = "gated", modularity: bool = False, seed: int = 2026, most_edges: int = 200_000, rounds: int = 20
+    edges: DataFrame, resolution: float = 0.05, weight: str = "gated", modularity: bool = False, seed: int = 2026, most_edges: int = 200_000
 ) -> DataFrame:
     """(node, community): every node with an edge, by the least node of its community."""
     e = materialize(edges.select("left", "right", F.col(weight).cast("double").alias("weight")).where("left <> right"), "graph")
@@ -181,7 +214,7 @@ def communities(
     large = sizes.where(F.col("n") > most_edges).select("k")
     if large.isEmpty():
         return small
-    return small.unionByName(_spread_moving(own.join(large, "k", "left_semi"), resolution, rounds, total))
+    return small.unionByName(_spread_levels(own.join(large, "k", "left_semi").select("left", "right", "weight"), resolution, total))
 
 
 def incidents(documents: DataFrame, communities_: DataFrame, document: str = "document_id") -> DataFrame:
