@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
 from newsloom.functions.fixed import CAMEO_ROOT_TYPES, EVENT_COLUMNS, EVENT_ROOT_CODES, GKG_COLUMNS, LABEL_STOP, MENTION_COLUMNS, TLD_COUNTRIES
-from newsloom.operators import attention, families, filters, similarity
-from newsloom.plans import catalogue, documents, explorer, ingest, payloads, store
+from newsloom.operators import attention, evaluation, families, filters, similarity
+from newsloom.plans import catalogue, documents, explorer, ingest, payloads, prototypes, store
 from newsloom.plans.catalogue import query
 from newsloom.plans.cutpoint import materialize, scratch
 from newsloom.sources import raw, sinks
@@ -392,3 +392,93 @@ def title_vectors(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("title", r"(\d+)$", 1).cast("double")
     vec = payloads.title_vectors(docs, lambda t: t.withColumn("vector", F.array(number, F.length("title").cast("double"))))
     return vec.select("document_id", F.col("vector")[0].alias("first"), F.col("vector")[1].alias("second"))
+
+
+# ---------------------------------------------------------------- earlier generations and evaluation
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    country = F.concat(F.lit("G"), _s(F.col("user_id") % 4))
+    return _t(spark, d, "events").select(F.col("ts").cast("timestamp").alias("batch_time"), country.alias("country"), _s("user_id").alias("source"), _s("event_id").alias("title"))
+
+
+@query("""SELECT date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts))::INT AS hours_after, count(*) FILTER (user_id % 4 = 0) AS G0, count(*) FILTER (user_id % 4 = 1) AS G1, count(*) FILTER (user_id % 4 = 3) AS G3
+FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1""")
+def hourly_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return prototypes.hourly_pivot(_batch(spark, d), "2024-01-01 00:00:00", ["G0", "G1", "G3"])
+
+
+@query("""SELECT country, hours_after, source, title FROM (SELECT 'G' || (user_id % 4) AS country, date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts))::INT AS hours_after, user_id::VARCHAR AS source, event_id::VARCHAR AS title,
+  row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, user_id::VARCHAR, event_id::VARCHAR) AS r FROM events) WHERE r = 1""")
+def first_per_country(spark: SparkSession, d: str) -> DataFrame:
+    return prototypes.first_per_country(_batch(spark, d), "2024-01-01 00:00:00")
+
+
+@query("""WITH m AS (SELECT o_custkey % 7 AS c, regexp_matches(o_orderpriority, 'URGENT|HIGH') AS hit, o_orderstatus FROM orders), b AS (SELECT c FROM m WHERE hit AND o_orderstatus = 'F' GROUP BY 1 ORDER BY count(*) DESC, c LIMIT 1)
+SELECT b.c AS event_cluster, count(*) FILTER (m.c = b.c) AS size, round(count(*) FILTER (m.c = b.c AND hit) / count(*) FILTER (m.c = b.c), 6) AS purity, round(count(*) FILTER (m.c = b.c AND hit) / count(*) FILTER (hit), 6) AS recall FROM m, b GROUP BY b.c""")
+def event_report(spark: SparkSession, d: str) -> DataFrame:
+    members = _t(spark, d, "orders").select((F.col("o_custkey") % 7).alias("cluster"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("country"))
+    return prototypes.event_report(members, "URGENT|HIGH", "F").withColumns({c: _r(c) for c in ("purity", "recall")})
+
+
+@query("""WITH w AS (SELECT o_custkey % 10 AS cluster, l_partkey AS f, sum(l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, f) AS r FROM w)
+SELECT cluster, string_agg(f::VARCHAR, '|' ORDER BY r) AS terms FROM r WHERE r <= 12 GROUP BY 1""")
+def top_terms(spark: SparkSession, d: str) -> DataFrame:
+    weights = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("feature"), F.col("l_quantity").alias("weight"))
+    members = _t(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_custkey") % 10).alias("cluster"))
+    return prototypes.top_terms(weights, members).withColumn("terms", _joined(F.col("terms")))
+
+
+@query("SELECT p_type, count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_type <> '' GROUP BY 1 ORDER BY n DESC, p_type LIMIT 3")
+def label_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The three most frequent labels: the limit is the feature."""
+    ids = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("GlobalEventID"))
+    return prototypes.label_counts(_t(spark, d, "part").select(F.col("p_partkey").alias("GlobalEventID"), "p_type"), ids, "p_type", 3)
+
+
+@query("""SELECT o_custkey % 50 - 1 AS cluster, count(*) AS articles, count(DISTINCT o_custkey) AS canonical_articles, count(DISTINCT nullif(o_orderstatus, 'P')) AS domains, round(date_diff('second', min(o_orderdate), max(o_orderdate)) / 3600.0, 6) AS span_hours
+FROM orders WHERE o_custkey % 50 > 0 GROUP BY 1""")
+def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    domain = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise("")
+    members = o.select((F.col("o_custkey") % 50 - 1).alias("cluster"), F.col("o_custkey").alias("canonical"), domain.alias("domain"), F.col("o_orderdate").cast("timestamp").alias("first_seen"))
+    return evaluation.cluster_sizes(members).withColumn("span_hours", _r("span_hours"))
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS g, o_orderstatus = 'F' AS story, o_custkey % 9 - 1 AS family FROM orders), t AS (SELECT g, count(*) AS documents, count(*) FILTER (family < 0) AS unassigned FROM x WHERE story GROUP BY 1),
+h AS (SELECT g, family, count(*) AS held, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, family) AS r FROM x WHERE story AND family >= 0 GROUP BY 1, 2), s AS (SELECT g, family, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT t.g AS neighborhood, documents, unassigned, h.family AS main_family, round(held / documents, 6) AS recall, round(held / n, 6) AS purity FROM t JOIN h ON t.g = h.g AND r = 1 JOIN s ON s.g = h.g AND s.family = h.family""")
+def neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("neighborhood"), (F.col("o_orderstatus") == "F").alias("gold_story"), (F.col("o_custkey") % 9 - 1).alias("family_id"))
+    return evaluation.neighbourhoods(rows).withColumns({c: _r(c) for c in ("recall", "purity")})
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size / 50.0 ELSE 0.0 END AS e, p_size % 3 > 0 AS eb, CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 100) / 100.0 ELSE 0.0 END AS u, p_partkey % 4 > 0 AS ub FROM part),
+m AS (SELECT *, CASE WHEN eb OR ub THEN (e + u) / (eb::INT + ub::INT) ELSE 0.0 END AS mean FROM p)
+SELECT p_partkey, round(mean, 6) AS combined, round(CASE WHEN (e > 0)::INT + (u > 0)::INT >= 2 OR greatest(e, u) >= 0.6 THEN mean ELSE 0.0 END, 6) AS gated FROM m""")
+def mean_gate(spark: SparkSession, d: str) -> DataFrame:
+    k, e, u = F.col("p_partkey"), F.col("p_size") % 3 > 0, F.col("p_partkey") % 4 > 0
+    rows = _t(spark, d, "part").select(
+        k, e.alias("event_both"), u.alias("url_both"), F.when(e, F.col("p_size") / 50).otherwise(0.0).alias("event_score"), F.when(u, (k % 100) / 100).otherwise(0.0).alias("url_score"),
+    )
+    return similarity.mean_gate(rows, ["event", "url"]).select("p_partkey", _r("combined").alias("combined"), _r("gated").alias("gated"))
+
+
+@query("""SELECT s_suppkey AS run, CASE WHEN s_suppkey % 10 < 8 THEN round(0.45 * (s_suppkey % 7) / 7 + 0.25 * (s_suppkey % 5) / 5 + 0.15 * (s_suppkey % 3) / 3 + 0.15 * (s_suppkey % 2) / 2, 6) ELSE -1.0 END AS objective FROM supplier""")
+def sweep_selection(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    metrics = _t(spark, d, "supplier").select(
+        k.alias("run"), ((k % 7) / 7).alias("pair_fam_p"), ((k % 5) / 5).alias("pair_fam_f1"), ((k % 3) / 3).alias("b3_fam_f1"), ((k % 2) / 2).alias("pair_inc_f1"), F.when(k % 10 < 8, 0.05).otherwise(0.5).alias("unassigned"),
+    )
+    return evaluation.selection(metrics).select("run", F.when(F.col("objective") > float("-inf"), _r("objective")).otherwise(-1.0).alias("objective"))
+
+
+@query("""WITH f AS (SELECT o_custkey % 200 AS g, unnest(['p' || (o_custkey % 37), 'o' || (o_orderkey % 11)]) AS f FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT g, f, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, f) AS r FROM f GROUP BY 1, 2),
+t AS (SELECT g, f FROM r WHERE r <= 10), s AS (SELECT g, count(*) AS n FROM t GROUP BY 1), few AS (SELECT f FROM t GROUP BY 1 HAVING count(*) <= 50),
+l AS (SELECT DISTINCT a.g AS "left", b.g AS "right" FROM t a JOIN t b ON a.f = b.f AND a.g < b.g WHERE a.f IN (SELECT f FROM few)), c AS (SELECT "left", "right", count(*) AS shared FROM l JOIN t a ON a.g = "left" JOIN t b ON b.g = "right" AND a.f = b.f GROUP BY 1, 2)
+SELECT "left", "right", round(shared / (x.n + y.n - shared), 6) AS weight FROM c JOIN s x ON x.g = "left" JOIN s y ON y.g = "right" WHERE shared / (x.n + y.n - shared) >= 0.2""")
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    persons, organizations = F.array(F.concat(F.lit("p"), _s(F.col("o_custkey") % 37))), F.array(F.concat(F.lit("o"), _s(F.col("o_orderkey") % 11)), F.lit(None).cast("string"))
+    members = o.select((F.col("o_custkey") % 200).alias("incident_id"), (F.col("o_orderstatus") != "P").alias("has_gkg"), persons.alias("persons"), organizations.alias("organizations"))
+    return families.entity_links(members).withColumn("weight", _r("weight"))
