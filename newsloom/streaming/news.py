@@ -36,22 +36,31 @@ def hourly_counts(stream: DataFrame, keys: list[str], at: str, outlet: str, late
     return grouped.agg(F.count("*").alias("raw_documents"), F.approx_count_distinct(outlet).alias("unique_domains")).select(*keys, F.col("w.start").alias("time_bucket"), "raw_documents", "unique_domains")
 
 
-def third_outlets(stream: DataFrame, key: str, at: str, outlet: str, outlets: int = 3) -> DataFrame:
+def third_outlets(stream: DataFrame, key: str, at: str, outlet: str, outlets: int = 3, keep: str = "30 days") -> DataFrame:
     """(key, outlet, seen): the row that brings a group's third different outlet, once a group.
 
-    A group's state is ``outlets`` names at most.
+    A group's state is ``outlets`` names at most, and goes once the stream is ``keep`` past
+    the group's last row; rows later than that are dropped, and a group that comes back
+    after it is a new one.
     """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (known,) = state.get if state.exists else ("",)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, last = state.get if state.exists else ("", 0)
         names = [n for n in known.split("\x1f") if n]
         for frame in frames:
             for row in frame.sort_values("seen").itertuples():
-                if len(names) < outlets and row.outlet not in names:
+                if len(names) < outlets and row.outlet and row.outlet not in names:
                     names.append(row.outlet)
                     if len(names) == outlets:
                         yield pd.DataFrame({"key": [group[0]], "outlet": [row.outlet], "seen": [row.seen]})
-        state.update(("\x1f".join(names),))
+            latest = frame["seen"].max()
+            last = last if pd.isna(latest) else max(last, int(latest.timestamp() * 1000))
+        state.update(("\x1f".join(names), last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(outlet).cast("string").alias("outlet"), F.col(at).cast("timestamp").alias("seen"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, outlet string, seen timestamp", "names string", "append", GroupStateTimeout.NoTimeout)
+    grouped = rows.withWatermark("seen", keep).groupBy("key")
+    return grouped.applyInPandasWithState(step, "key string, outlet string, seen timestamp", "names string, last long", "append", GroupStateTimeout.EventTimeTimeout)

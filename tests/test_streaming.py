@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from newsloom.functions.fixed import MENTION_COLUMNS
@@ -32,6 +34,20 @@ def test_streams(spark, tmp_path):
     assert [(r["key"], r["outlet"]) for r in third] == [("1", "c.com")]
 
 
+def test_third_outlet_state_expires(spark, tmp_path):
+    """One file a trigger: the first group is forgotten before its third outlet comes a month later."""
+    src = tmp_path / "in"
+    src.mkdir()
+    day = lambda n, event, domain: rows(0, event, domain).replace("20230206000000\t", f"{n}000000\t")
+    for i, (n, event, domain) in enumerate([("20230206", 1, "a.com"), ("20230206", 1, "b.com"), ("20230207", 2, "a.com"), ("20230320", 2, "b.com"), ("20230321", 3, "a.com"), ("20230322", 1, "c.com"), ("20230323", 3, "b.com"), ("20230324", 3, "c.com")]):
+        name = src / f"{i}.mentions.CSV"
+        name.write_text(day(n, event, domain) + "\n")
+        os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = news.mention_stream(spark, str(src), 1)
+    third = run(news.third_outlets(stream, "GlobalEventID", "MentionTimeDate", "domain", keep="10 days"), "expired")
+    assert [(r["key"], r["outlet"]) for r in third] == [("3", "c.com")]
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "id long, title string")
     out = f"{tmp_path}/shards"
