@@ -833,5 +833,5 @@ def type_countries(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(serving.type_countries(_countries(spark, d)[1], 3, 100))
 
 
-# registers the queries of the news chain beside these
-from newsloom.plans import catalogue_news  # noqa: E402, F401
+# registers the queries of the news chain and of audits, requests and streams beside these
+from newsloom.plans import catalogue_audits, catalogue_news  # noqa: E402, F401
