@@ -11,8 +11,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import urls
 from newsloom.functions.fixed import EVENT_COLUMNS, EVENT_ROOT_CODES, MENTION_COLUMNS, STOPWORDS, TLD_COUNTRIES
-from newsloom.operators import evaluation, families, filters, similarity
+from newsloom.operators import evaluation, families, filters, responses, similarity
 from newsloom.plans import catalogue, explorer, prototypes, resolve, serving
 from newsloom.plans.catalogue import query
 from newsloom.plans.catalogue_news import _MENTIONS, _mention_lines, _raw_rows, _s
@@ -420,3 +421,135 @@ SELECT event::VARCHAR AS event, seen FROM (SELECT event, seen, row_number() OVER
 def stream_third_outlets(spark: SparkSession, d: str) -> DataFrame:
     found = _drained(news.third_outlets(_mention_stream(spark, d), "GlobalEventID", "MentionTimeDate", "domain"))
     return found.select(F.col("key").alias("event"), _time("seen"))
+
+
+# ---------------------------------------------------------------- graphs of articles and families
+
+
+@query(rf"""WITH {catalogue._WORDS}, kept AS (SELECT * FROM words WHERE NOT (regexp_matches(w, '^[0-9a-f]+$') AND regexp_matches(w, '\d') AND regexp_matches(w, '[a-f]')) AND (NOT regexp_full_match(w, '\d+') OR len(w) = 3)),
+docs AS (SELECT host, count(DISTINCT page_id) AS docs FROM kept WHERE host <> '' GROUP BY 1 HAVING count(DISTINCT page_id) >= 20), marks AS (SELECT host, w FROM kept JOIN docs USING (host) GROUP BY host, w, docs HAVING count(DISTINCT page_id) / docs >= 0.2)
+SELECT page_id AS node, w AS feature FROM kept WHERE (host, w) NOT IN (SELECT (host, w) FROM marks)""")
+def url_rows(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.url_rows(_t(spark, d, "pages").select(F.col("page_id").alias("document_id"), urls.url_domain(F.col("url")).alias("domain"), F.col("url").alias("canonical_url")))
+
+
+def _tfidf_sql(name: str, rows: str) -> str:
+    return f"""{name}_d AS (SELECT feature, ln((n + 1) / (count(*) + 1)) + 1 AS w FROM {rows}, (SELECT count(*) AS n FROM orders) GROUP BY feature, n),
+{name}_w AS (SELECT node, feature, w / sqrt(sum(w * w) OVER (PARTITION BY node)) AS w FROM {rows} JOIN {name}_d USING (feature)), {name}_p AS (SELECT a.node AS l, b.node AS r, sum(a.w * b.w) AS s FROM {name}_w a JOIN {name}_w b ON a.feature = b.feature AND a.node < b.node GROUP BY 1, 2)"""
+
+
+@query(f"""WITH pr AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS feature FROM lineitem), cr AS (SELECT o_orderkey AS node, o_custkey AS feature FROM orders WHERE o_orderstatus <> 'O'), {_tfidf_sql("p", "pr")}, {_tfidf_sql("c", "cr")},
+u AS (SELECT l, r, coalesce(p_p.s, 0) AS ps, coalesce(c_p.s, 0) AS cs FROM p_p FULL JOIN c_p USING (l, r)), b AS (SELECT u.*, l IN (SELECT node FROM pr) AND r IN (SELECT node FROM pr) AS pb, l IN (SELECT node FROM cr) AND r IN (SELECT node FROM cr) AS cb FROM u),
+m AS (SELECT *, CASE WHEN pb OR cb THEN (least(ps, 1) + least(cs, 1)) / (pb::INT + cb::INT) ELSE 0 END AS mean FROM b)
+SELECT l AS "left", count(*) AS pairs, round(sum(mean), 6) AS combined, round(sum(CASE WHEN (ps > 0)::INT + (cs > 0)::INT >= 2 OR greatest(ps, cs) >= 0.6 THEN mean ELSE 0 END), 6) AS gated FROM m GROUP BY 1""")
+def article_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by their parts and by their customer; no neighbour is cut off."""
+    nodes = _t(spark, d, "orders").select(F.col("o_orderkey").alias("node"))
+    parts = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("feature")).distinct()
+    owners = _t(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("feature"))
+    found = prototypes.article_pairs(nodes, {"part": parts, "owner": owners}, prototypes.ArticleSettings(neighbours=1 << 30, cap=1 << 30))
+    return found.groupBy("left").agg(F.count("*").alias("pairs"), F.round(F.sum("combined"), 6).alias("combined"), F.round(F.sum("gated"), 6).alias("gated"))
+
+
+@query(f"""WITH {catalogue._VEC}, m AS (SELECT id, label * 3 + id % 3 AS inc, label % 2 AS lang, label * 30 + id % 24 AS h, vector FROM v), x AS (SELECT inc, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM m), a AS (SELECT inc, i, avg(x) AS a FROM x GROUP BY 1, 2),
+n AS (SELECT inc, sqrt(sum(a * a)) AS n FROM a GROUP BY 1), c AS (SELECT inc, list(a / n ORDER BY i) AS c FROM a JOIN n USING (inc) GROUP BY 1), s AS (SELECT inc, any_value(lang) AS lang, min(h) AS a, max(h) AS b FROM m GROUP BY 1),
+p AS (SELECT x.inc AS l, y.inc AS r, list_dot_product(x.c, y.c) AS cos, CASE sx.lang + sy.lang WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 ELSE 0.17 END AS q FROM c x JOIN c y ON x.inc < y.inc JOIN s sx ON sx.inc = x.inc JOIN s sy ON sy.inc = y.inc WHERE greatest(sx.a - sy.b, sy.a - sx.b) <= 48),
+w AS (SELECT l, r, least(greatest((cos - q) / (1 - q), 0), 1) AS w FROM p WHERE cos >= 0.1)
+SELECT l AS "left", r AS "right", round(w, 6) AS weight FROM w WHERE w >= 0.1 AND (w >= 0.5 OR EXISTS (SELECT 1 FROM m a JOIN m b ON a.id % 200 = b.id % 200 WHERE a.inc = l AND b.inc = r))""")
+def title_links(spark: SparkSession, d: str) -> DataFrame:
+    """Families' links by centroids of titles, near in time, with a shared event unless very close."""
+    k = F.col("id")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    members = catalogue._vec(spark, d).select(
+        k.alias("document_id"), (F.col("label") * 3 + k % 3).cast("long").alias("incident_id"), F.concat(F.lit("L"), _s(F.col("label") % 2)).alias("language"),
+        F.timestamp_seconds(F.unix_timestamp(start) + 3600 * (F.col("label") * 30 + k % 24)).alias("first_seen"), F.lit(False).alias("has_gkg"), "vector",
+    )
+    background = spark.sql("SELECT * FROM VALUES ('L0', 'L0', 0.1D), ('L0', 'L1', 0.05D) AS t(group_left, group_right, quantile)")
+    links = members.select("document_id", (F.col("document_id") % 200).alias("GlobalEventID"))
+    return families.title_links(members, background, links, 0.1, 0.5, 48.0, ("event",)).withColumn("weight", _r("weight"))
+
+
+def _compared_sql(run: str, unit: str, key: str, cluster: str) -> str:
+    name = f"{run}_{unit}"
+    return f"""{name}_h AS (SELECT DISTINCT {key} AS k, canonical % {cluster} AS c FROM pg), {name}_t AS (SELECT DISTINCT story, {key} AS k FROM tg), {name}_n AS (SELECT story, c, count(*) AS n, row_number() OVER (PARTITION BY story ORDER BY count(*) DESC, c) AS r
+  FROM {name}_t JOIN {name}_h USING (k) GROUP BY 1, 2), {name} AS (SELECT '{run}' AS run, story, '{unit}' AS unit, a.n AS all_units, b.c AS best_cluster, b.n AS best_matches, round(b.n / a.n, 6) AS best_fraction, round(b.n / z.n, 6) AS best_purity, round(f.n / a.n, 6) AS top5_fraction
+  FROM (SELECT story, count(*) AS n FROM {name}_t GROUP BY 1) a JOIN {name}_n b USING (story) JOIN (SELECT c, count(*) AS n FROM {name}_h GROUP BY 1) z ON z.c = b.c
+  JOIN (SELECT t.story, count(DISTINCT t.k) AS n FROM {name}_t t JOIN {name}_h h USING (k) JOIN {name}_n x ON x.story = t.story AND x.c = h.c WHERE x.r <= 5 GROUP BY 1) f USING (story) WHERE b.r = 1)"""
+
+
+_RUNS = {"first": 30, "second": 7}
+_UNITS = {"url": "id", "canonical": "canonical"}
+
+
+@query("WITH pg AS (SELECT o_orderkey AS id, o_orderkey // 2 AS canonical, lower(o_orderpriority) AS slug FROM orders), tg AS (SELECT id, canonical, 'top' AS story FROM pg WHERE regexp_matches(slug, 'urgent|high') UNION ALL SELECT id, canonical, 'some' FROM pg WHERE regexp_matches(slug, 'low|high')), "
+       + ", ".join(_compared_sql(r, u, k, n) for r, n in _RUNS.items() for u, k in _UNITS.items()) + " " + " UNION ALL ".join(f"SELECT * FROM {r}_{u}" for r in _RUNS for u in _UNITS))
+def story_comparison(spark: SparkSession, d: str) -> DataFrame:
+    pages = _t(spark, d, "orders").select(F.col("o_orderkey").alias("MentionIdentifier"), F.floor(F.col("o_orderkey") / 2).cast("long").alias("canonical"), F.lower("o_orderpriority").alias("slug"))
+    runs = {run: pages.select("canonical", (F.col("canonical") % n).alias("cluster")).distinct() for run, n in _RUNS.items()}
+    return prototypes.story_comparison(runs, pages, {"top": "urgent|high", "some": "low|high"}).withColumns({c: _r(c) for c in ("best_fraction", "best_purity", "top5_fraction")})
+
+
+@query(f"""WITH {_PAIRS}, g AS (SELECT l, (es + us) / 2 AS combined, es, us, (es >= 0.05)::INT + (us >= 0.2)::INT AS evidence, l % 4 AS ef, l % 5 AS uf FROM x), grid AS (SELECT * FROM (VALUES (1), (2)) AS a(c), (VALUES (0.3), (0.4)) AS b(t))
+SELECT 'min_channels=' || c || ', threshold=' || t AS run, count(*) FILTER (combined >= t AND (evidence >= c OR es >= 0.8 AND ef >= 2 OR us >= 0.8 AND uf >= 2)) AS edges FROM g, grid GROUP BY c, t""")
+def gate_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Scored once, gated for every combination of settings."""
+    k = F.col("left")
+    scored = materialize(prototypes.plain_mean(_pairs(spark, d)).drop("evidence_channels", "gated").withColumns({"event_min_features": k % 4, "url_min_features": k % 5}), "swept")
+    run = lambda gate: similarity.apply_gate(scored, ("event", "url"), gate).agg(F.count_if(F.col("gated") >= gate.threshold).alias("edges"))
+    return prototypes.sweep(similarity.Gate(), {"min_channels": (1, 2), "threshold": (0.3, 0.4)}, run)
+
+
+# ---------------------------------------------------------------- strict and repeated reads
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS replacements, 0::BIGINT AS null_id, count(*) FILTER (c_custkey % 6 = 0) AS null_name, 0::BIGINT AS null_segment FROM customer")
+def strict_audit(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "strict")
+    name = F.when(F.col("c_custkey") % 6 == 0, "").otherwise(F.col("c_name"))
+    _t(spark, d, "customer").select(F.concat_ws("\t", _s("c_custkey"), name, "c_mktsegment").alias("value")).write.text(path)
+    return raw.read_strict(spark, [path], ["id", "name", "segment"])[1]
+
+
+@query("SELECT c_custkey::VARCHAR AS id, '\"' || c_name AS name FROM customer")
+def glob_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All files of a pattern; quotes mean nothing."""
+    path = scratch(spark, "glob")
+    _t(spark, d, "customer").select(F.concat(_s("c_custkey"), F.lit('\t"'), "c_name").alias("value")).write.text(path)
+    return raw.glob_scan(spark, path, "part-*.txt", ["id", "name"])
+
+
+@query("SELECT 'orders' AS name, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders UNION ALL SELECT 'parts', count(*), sum(p_partkey)::BIGINT FROM part")
+def prepared_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of an earlier run with the same settings; the second run builds nothing."""
+    path, settings = scratch(spark, "prepared"), {"threshold": 0.3, "orders": d}
+    prototypes.prepared(spark, path, settings, lambda: {"orders": _t(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "parts": _t(spark, d, "part").select(F.col("p_partkey").alias("k"))})
+    again = prototypes.prepared(spark, path, settings, dict)
+    of = lambda n: again[n].agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.sum("k").alias("keys"))
+    return of("orders").unionByName(of("parts"))
+
+
+# ---------------------------------------------------------------- evidence and filtered responses
+
+
+@query("""WITH e AS (SELECT j, 7 + j * j AS n, (j % 5) / 5 AS ts, (j % 3) / 3 AS es, j * 1.5 AS h FROM range(1, 7) AS g(j)), x AS (SELECT e.*, n % 3 = 7 % 3 AS same, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = n AND n % 8 > 0) AS there FROM e WHERE j % 2 = 1)
+SELECT max(ts) AS title_similarity, bool_or(es > 0) AS shared_event, min(h)::DOUBLE AS hours, coalesce(bool_or(NOT same) FILTER (there), false) AS other_country FROM x""")
+def store_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of one document's edges: the document is the feature."""
+    store, j = _store(spark, d), F.col("j")
+    pairs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("j"))
+    zero = F.lit(0.0)
+    store.t["document_evidence"] = pairs.select(
+        "document_id", (F.col("document_id") + j * j).alias("neighbor_document_id"), (j % 2 == 1).alias("same_incident"), j.alias("rank"), ((j % 5) / 5).alias("title_score"), ((j % 3) / 3).alias("event_score"), zero.alias("url_score"),
+        zero.alias("entity_score"), (j * 1.5).alias("delta_hours"), F.lit(0.5).alias("gated"), F.lit(0.5).alias("combined"),
+    )
+    checks = store.evidence(7)[1]
+    return checks.select("title_similarity", "shared_event", F.col("hours_to_nearest_support").cast("double").alias("hours"), F.col("other_publisher_country").alias("other_country"))
+
+
+@query(f"""WITH {catalogue._OBS} SELECT event_id, destination_country, round(trunc((epoch_us(destination_onset) - epoch_us(CASE WHEN home THEN event_start ELSE world_onset END)) / 60000000) / 60.0, 6) AS response_hours
+FROM obs0 WHERE size >= 2 AND size < 1000 AND event_start >= TIMESTAMP '1995-07-01' AND event_start < TIMESTAMP '1997-01-01' AND kind IN ('1-URGENT', '3-MEDIUM')""")
+def response_filters(spark: SparkSession, d: str) -> DataFrame:
+    """All filters at once, foreign responses measured from the world's onset."""
+    wanted = responses.Filters("incident", event_types=("1-URGENT", "3-MEDIUM"), min_event_effective_reports=2, max_event_effective_reports=1000, start=datetime(1995, 7, 1), end=datetime(1997, 1, 1), reference="world")
+    found = responses.apply_filters(catalogue._observations(spark, d), wanted)
+    return found.select("event_id", "destination_country", _r("response_hours").alias("response_hours"))
