@@ -4,6 +4,7 @@
     python -m newsloom resolve --tables DIR --out DIR [--vectors TABLE] [--threshold 0.3 ...]
     python -m newsloom query NAME --tables DIR --out DIR
     python -m newsloom fetch URL... --out DIR
+    python -m newsloom serve [--store DIR] [--explorer DIR] [--observations TABLE] [--port 8000]
 
 Every stage reads and writes Parquet tables; a run of ``resolve`` takes any field of its
 settings as an option.
@@ -22,7 +23,7 @@ from pyspark.sql import SparkSession
 
 from newsloom.functions.times import parse_window
 from newsloom.operators import similarity
-from newsloom.plans import catalogue, documents, ingest, resolve
+from newsloom.plans import catalogue, documents, explorer, ingest, resolve, serving, web
 from newsloom.plans.payloads import as_dict
 from newsloom.sources import raw, sinks
 
@@ -51,9 +52,24 @@ def parser() -> argparse.ArgumentParser:
     four = stages.add_parser("fetch", help="download files that aren't there yet")
     four.add_argument("urls", nargs="+")
     four.add_argument("--out", required=True)
+    five = stages.add_parser("serve", help="answer requests over HTTP from written tables")
+    for name in ("store", "explorer", "observations"):
+        five.add_argument(f"--{name}")
+    five.add_argument("--host", default="127.0.0.1")
+    five.add_argument("--port", type=int, default=8000)
     return top
 
 
+def served(spark: SparkSession, args: argparse.Namespace) -> web.Served:
+    """What the given folders hold; a part without a folder isn't served."""
+    read = lambda n: spark.read.parquet(f"{args.explorer}/{n}")
+    return web.Served(
+        serving.AttentionStore.open(spark, args.store) if args.store else None,
+        explorer.Explorer({n: read(n) for n in ("articles", "article_events", "events")}) if args.explorer else None,
+        spark.read.parquet(args.observations) if args.observations else None,
+    )
+
+
 def settings(args: argparse.Namespace) -> resolve.Settings:
     pick = lambda kind: {f.name: getattr(args, f.name) for f in _plain_fields(kind)}
     return resolve.Settings(**pick(resolve.Settings), gate=similarity.Gate(**pick(similarity.Gate)))
@@ -109,6 +125,8 @@ def main(argv: list[str] | None = None) -> None:
         for name, t in resolve.resolve(read("documents"), read("document_events"), vectors, chosen).items():
             sinks.write_table(t, f"{args.out}/{name}")
         print(json.dumps({"settings": as_dict(chosen)}))
+    elif args.stage == "serve":
+        web.serve(served(spark, args), args.port, args.host)
     else:
         sinks.write_table(catalogue.QUERIES[args.name](spark, args.tables), args.out)
 

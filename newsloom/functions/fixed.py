@@ -166,3 +166,11 @@ RECORD_COLUMNS = [
     "origin_onset", "destination_onset", "world_onset", "response_hours", "response_reference", "covered", "suppressed", "has_documents",
     "censor_hours", "raw_documents", "effective_reports", "attention_ratio",
 ]
+
+# -- fixed values: fields of an event in answers (name, column) ------------------------
+EVENT_FIELDS = {
+    "globaleventid": "GlobalEventID", "day": "Day", "dateadded": "dateadded", "actor1": "Actor1Name", "actor2": "Actor2Name", "actor1country": "Actor1CountryCode",
+    "actor2country": "Actor2CountryCode", "eventcode": "EventCode", "rootcode": "EventRootCode", "rootlabel": "root_label", "quadclass": "QuadClass", "quadlabel": "quadlabel",
+    "goldstein": "GoldsteinScale", "avgtone": "AvgTone", "nummentions": "NumMentions", "numsources": "NumSources", "numarticles": "NumArticles",
+    "location": "ActionGeo_FullName", "countrycode": "ActionGeo_CountryCode", "lat": "ActionGeo_Lat", "lon": "ActionGeo_Long", "sourceurl": "sourceurl",
+}

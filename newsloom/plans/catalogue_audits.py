@@ -285,14 +285,14 @@ def explorer_event_list(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("GlobalEventID").alias("event"), F.col("NumArticles").alias("articles"), F.col("NumMentions").alias("mentions"))
 
 
-_SORTED = {"datedesc": "seen DESC", "dateasc": "seen", "tonedesc": "tone DESC NULLS LAST", "toneasc": "tone NULLS LAST", "hybridrel": "confidence DESC NULLS LAST"}
+_SORTED = {"datedesc": "seen DESC", "dateasc": "seen", "tonedesc": "tone DESC NULLS LAST", "toneasc": "tone NULLS LAST", "hybridrel": "numevents DESC NULLS LAST"}
 
 
-@query("WITH a AS (SELECT o_orderkey AS url, o_orderdate AS seen, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice END AS tone, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS confidence FROM orders) "
+@query("WITH a AS (SELECT o_orderkey AS url, o_orderdate AS seen, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice END AS tone, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS numevents FROM orders) "
        + " UNION ALL ".join(f"SELECT '{k}' AS way, * FROM (SELECT url FROM a ORDER BY {v}, seen DESC, url::VARCHAR LIMIT 75)" for k, v in _SORTED.items()))
 def article_orders(spark: SparkSession, d: str) -> DataFrame:
     """The first page of every order: the page is the feature."""
-    a = _t(spark, d, "orders").select(_s("o_orderkey").alias("url"), F.col("o_orderdate").alias("seendate"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_totalprice")).alias("tone"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey")).alias("confidence"))
+    a = _t(spark, d, "orders").select(_s("o_orderkey").alias("url"), F.col("o_orderdate").alias("seendate"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_totalprice")).alias("tone"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey")).alias("numevents"))
     lists = [explorer.article_list(a, way, 75).select(F.lit(way).alias("way"), F.col("url").cast("long").alias("url")) for way in explorer.SORTS]
     out = lists[0]
     for x in lists[1:]:
@@ -309,7 +309,7 @@ def _store(spark: SparkSession, d: str) -> serving.AttentionStore:
     none = F.array().cast("array<string>")
     events = _t(spark, d, "customer").select(
         k.alias("macro_event_id"), F.col("c_nationkey").alias("family_id"), F.col("c_name").alias("title"), F.concat(F.lit("Élan "), _s(k % 7)).alias("label"), none.alias("people"), none.alias("organizations"),
-        F.array(F.col("c_mktsegment")).alias("actors"), F.array(F.col("c_mktsegment")).alias("event_types"), (k % 6).alias("publisher_country_count"), (k % 11).alias("effective_reports"), F.concat(F.lit("N"), _s("c_nationkey")).alias("event_country"),
+        F.array(F.col("c_mktsegment")).alias("actors"), F.array(F.col("c_mktsegment")).alias("event_types"), (k % 6).alias("publisher_country_count"), (k % 11).alias("effective_reports"), (k % 13).alias("raw_documents"), F.concat(F.lit("N"), _s("c_nationkey")).alias("event_country"),
     )
     docs = _t(spark, d, "orders").select(
         o.alias("document_id"), F.col("o_custkey").alias("macro_event_id"), F.lower("o_orderpriority").alias("title"), (o % 8 > 0).alias("is_primary"), F.col("o_orderstatus").alias("language"), F.concat(F.lit("s"), _s(o % 20)).alias("source_domain"),

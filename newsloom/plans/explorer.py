@@ -20,7 +20,7 @@ from newsloom.sources import raw
 DOC_MODES = ("artlist", "timelinevol", "timelinevolraw", "timelinetone", "tonechart")
 #: Orders of article lists; nulls come last.
 SORTS = {
-    "datedesc": [F.desc, "seendate"], "dateasc": [F.asc, "seendate"], "tonedesc": [F.desc_nulls_last, "tone"], "toneasc": [F.asc_nulls_last, "tone"], "hybridrel": [F.desc_nulls_last, "confidence"],
+    "datedesc": [F.desc, "seendate"], "dateasc": [F.asc, "seendate"], "tonedesc": [F.desc_nulls_last, "tone"], "toneasc": [F.asc_nulls_last, "tone"], "hybridrel": [F.desc_nulls_last, "numevents"],
 }
 
 
@@ -153,7 +153,7 @@ def tone_bin(tone: Column, low: float = -20, high: float = 20) -> Column:
 
 def tone_chart(found: DataFrame, tone: str = "tone", order: list | None = None, k: int = 10, item: str = "url") -> DataFrame:
     """(bin, count, top): articles by tone in steps of two, with the ``k`` best of each bin."""
-    order = order or [F.desc_nulls_last("confidence"), F.desc("seendate"), item]
+    order = order or [F.desc_nulls_last("numevents"), F.desc("seendate"), item]
     binned = found.withColumn("bin", tone_bin(F.col(tone)))
     counts = binned.groupBy("bin").agg(F.count("*").alias("count"))
     return counts.join(gathered(top_per_key(binned, ["bin"], order, k, "r"), ["bin"], F.col(item), "top"), "bin")

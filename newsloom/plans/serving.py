@@ -72,7 +72,8 @@ class AttentionStore:
         )
 
     # -- events -------------------------------------------------------------------
-    def list_events(self, query: str | None = None, kind: str | None = None, country: str | None = None, family: int | None = None, sort: str = "effective_reports", limit: int = 100, offset: int = 0) -> DataFrame:
+    def matching(self, query: str | None = None, kind: str | None = None, country: str | None = None, family: int | None = None) -> DataFrame:
+        """All events that fit a search, a type, a country and a family, where these are given."""
         out = self.search(query) if query else self.events
         if kind:
             out = out.where(F.array_contains("event_types", kind))
@@ -80,8 +81,11 @@ class AttentionStore:
             out = out.where(F.col("event_country") == country.upper())
         if family is not None:
             out = out.where(F.col("family_id") == family)
+        return out
+
+    def list_events(self, query: str | None = None, kind: str | None = None, country: str | None = None, family: int | None = None, sort: str = "effective_reports", limit: int = 100, offset: int = 0) -> DataFrame:
         column, down = EVENT_SORTS[sort]
-        return page(out, [F.desc(column) if down else F.asc(column), "macro_event_id"], offset, limit)
+        return page(self.matching(query, kind, country, family), [F.desc(column) if down else F.asc(column), "macro_event_id"], offset, limit)
 
     def event(self, event: int) -> DataFrame:
         return self._one(self.events.where(F.col("macro_event_id") == event), f"event {event}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import responses
-from newsloom.plans import documents, explorer, ingest, resolve, serving, store
+from newsloom.plans import documents, explorer, ingest, resolve, serving, store, web
 from newsloom.plans.cutpoint import materialize
 from newsloom.operators.similarity import theme_idf
 from newsloom.sources import raw, sinks
@@ -177,6 +177,29 @@ def test_serving(spark, served, tmp_path):
     assert sinks.records(s.types())[0]["type"] and sinks.summary_json(store.meta(served["macro_event_documents"].withColumnsRenamed({"observed_time": "first_seen"}).withColumn("last_seen", F.col("first_seen")), served["macro_events"]))["macro_events"] >= 1
 
 
+def test_routes(served):
+    w = web.Served(store=serving.AttentionStore(served), meta={"window": "x"})
+
+    def get(path, query=""):
+        status, payload = web.answer(w, f"/api/v2/attention/{path}", query)
+        assert status == 200, payload
+        return payload
+
+    spread = get("events/0/spread", "limit=7&offset=7")
+    whole = get("events/0/spread", "limit=500")
+    assert spread["documents"] == whole["documents"][7:14] and whole["total"] == len(whole["documents"]) and whole["meta"] == {"window": "x"}
+    family = get("events/0")["event"]["family_id"]
+    assert get("events/0/spread", "include_family=true")["documents"] == get(f"families/{family}/spread")["documents"]
+    line = get("events/0/timeline", "publisher_countries=uk,fr")
+    assert {r["publisher_country"] for r in line["publisher_countries"]} == {"UK", "FR"} and line["world"] and get(f"families/{family}/timeline", "value=unique_domains")["value"] == "unique_domains"
+    assert all(not r["suppressed"] for r in get("events/0/countries", "include_suppressed=false")["publisher_countries"]) and get(f"families/{family}/countries")["world_onset"]
+    assert len(get("event-types/natural_disaster/countries", "min_events=1&min_country_documents=1")["publisher_countries"]) >= 5 and get("countries")["publisher_countries"]
+    doc = served["document_evidence"].where("same_incident").first()["document_id"]
+    why = get(f"documents/{doc}/evidence")
+    assert why["supporting"] and why["checks"]["title_similarity"] > 0 and why["document"]["document_id"] == doc
+    assert web.answer(w, "/api/v2/attention/events/999/timeline")[0] == 404 and web.answer(w, "/api/v2/attention/events/0/timeline", "value=x")[0] == 400
+
+
 def test_analytics(spark, served):
     table = responses.event_table(served["macro_events"], served["event_families"])
     coverage = responses.coverage_table(served["country_family_summary"], served["country_event_summary"])
