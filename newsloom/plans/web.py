@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
+from html import escape
 from typing import Any
 from urllib.parse import parse_qs, unquote
 
@@ -198,7 +199,12 @@ def _doc(served: Served, v: dict) -> dict:
 @route(f"{EXPLORER}/geo/geo", **_WINDOW, mode=Param(_lower, "pointdata", among=("pointdata", "pointheat")), format=Param(_lower, "geojson", among=("geojson",)), maxpoints=count(500, 5000))
 def _geo(served: Served, v: dict) -> dict:
     x, r = served.part("explorer"), _request(v)
-    return payloads.geojson(x.geo(r, v["maxpoints"])) | {"query": v["query"], "window": _window(*x.window(r))}
+    out = payloads.geojson(x.geo(r, v["maxpoints"]))
+    for feature in out["features"]:
+        p = feature["properties"]
+        links = "".join(f'<a href="{escape(url)}">{escape(title)}</a><br>' for url, title in zip(p["urls"], p["titles"]))
+        p |= {"shareimage": "", "html": f"<b>{escape(p['name'])}</b><br>{links}"}
+    return out | {"query": v["query"], "window": _window(*x.window(r))}
 
 
 def _event_records(events: DataFrame) -> list[dict]:

@@ -43,7 +43,7 @@ def test_events_places_facets(served):
     one = get(served, f"/api/v2/ext/events/{got['events'][0]['globaleventid']}")
     assert one["event"] == got["events"][0] and one["articles"]
     points = get(served, "/api/v2/geo/geo")
-    assert points["type"] == "FeatureCollection" and points["features"][0]["properties"]["count"] > 0 and set(points["window"]) == {"start", "end"}
+    assert points["type"] == "FeatureCollection" and points["features"][0]["properties"]["count"] > 0 and set(points["window"]) == {"start", "end"} and points["features"][0]["properties"]["html"].startswith("<b>Town")
     facets = get(served, "/api/v2/ext/facets", "limit=2")
     assert facets["matched_articles"] == served.explorer.articles.count() and len(facets["domains"]) == 2 and facets["actors"]
     meta = get(served, "/api/v2/ext/meta")
