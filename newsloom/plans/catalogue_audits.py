@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import urls
 from newsloom.functions.fixed import EVENT_COLUMNS, EVENT_ROOT_CODES, MENTION_COLUMNS, STOPWORDS, TLD_COUNTRIES
 from newsloom.operators import evaluation, families, filters, responses, similarity
-from newsloom.plans import catalogue, explorer, prototypes, resolve, serving
+from newsloom.plans import catalogue, explorer, ingest, prototypes, resolve, serving
 from newsloom.plans.catalogue import query
 from newsloom.plans.catalogue_news import _MENTIONS, _mention_lines, _raw_rows, _s
 from newsloom.plans.cutpoint import materialize, scratch
@@ -553,3 +553,33 @@ def response_filters(spark: SparkSession, d: str) -> DataFrame:
     wanted = responses.Filters("incident", event_types=("1-URGENT", "3-MEDIUM"), min_event_effective_reports=2, max_event_effective_reports=1000, start=datetime(1995, 7, 1), end=datetime(1997, 1, 1), reference="world")
     found = responses.apply_filters(catalogue._observations(spark, d), wanted)
     return found.select("event_id", "destination_country", _r("response_hours").alias("response_hours"))
+
+
+# ---------------------------------------------------------------- strict mentions and labels
+
+
+@query("""WITH m AS (SELECT event_id % 50 + 1 AS event, date_trunc('hour', ts) AS h, CASE WHEN event_type = 'error' THEN '2' ELSE '1' END AS kind, CASE WHEN event_id % 4 = 0 THEN 'deu' END AS lang, 10 + event_id % 90 AS confidence FROM events)
+SELECT 'type' AS part, kind AS key, count(*) AS n FROM m GROUP BY kind UNION ALL SELECT 'language', lang, count(*) FROM m GROUP BY lang UNION ALL SELECT 'times', event::VARCHAR, count(DISTINCT h) FROM m GROUP BY event HAVING count(DISTINCT h) > 1
+UNION ALL SELECT 'confidence', 'count', count(*) FROM m UNION ALL SELECT 'confidence', 'min', min(confidence) FROM m UNION ALL SELECT 'confidence', 'max', max(confidence) FROM m""")
+def strict_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Strictly typed mentions and their audit: types, languages, events with several times, spread of confidence."""
+    k, at = F.col("event_id"), F.col("ts").cast("timestamp")
+    given = {
+        "GlobalEventID": _s(k % 50 + 1), "EventTimeDate": F.date_format(F.date_trunc("hour", at), "yyyyMMddHHmmss"), "MentionTimeDate": F.date_format(at, "yyyyMMddHHmmss"), "MentionType": F.when(F.col("event_type") == "error", "2").otherwise("1"),
+        "Confidence": _s(10 + k % 90), "MentionDocTranslationInfo": F.when(k % 4 == 0, "srclc:deu;eng:GT"),
+    }
+    rows = _t(spark, d, "events").select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in MENTION_COLUMNS])
+    audit = ingest.mention_audit(ingest.strict_mentions(rows))
+    part = lambda name, t, key, n: t.select(F.lit(name).alias("part"), _s(key).alias("key"), F.col(n).cast("long").alias("n"))
+    spread = audit["confidence"].where("summary in ('count', 'min', 'max')")
+    out = part("type", audit["types"], "MentionType", "count").unionByName(part("language", audit["languages"], "language", "count"))
+    return out.unionByName(part("times", audit["inconsistent_events"], "GlobalEventID", "times")).unionByName(part("confidence", spread, "summary", "Confidence"))
+
+
+@query("SELECT (p_partkey // 2)::VARCHAR AS event, upper(p_name) || p_partkey AS actor, 'Town' AS place FROM part WHERE p_partkey % 2 = 0")
+def event_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every event stands twice in the file: its first row counts."""
+    k, path = F.col("p_partkey"), scratch(spark, "labels")
+    lines = _raw_rows(_t(spark, d, "part"), EVENT_COLUMNS, {"GlobalEventID": _s(F.floor(k / 2)), "Actor1Name": F.concat(F.upper("p_name"), _s(k)), "EventRootCode": F.lit("01"), "ActionGeo_FullName": F.lit("Town")})
+    lines.orderBy(k).select(F.col("line").alias("value")).coalesce(1).write.text(path)
+    return ingest.event_labels(spark, [path]).select(F.col("GlobalEventID").alias("event"), F.col("Actor1Name").alias("actor"), F.col("ActionGeo_FullName").alias("place"))
