@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,33 +76,89 @@ def calibrated(cosine: Column, quantile: Column) -> Column:
     return clip((clip(cosine, 0.0, 1.0) - q) / (1 - q), 0.0, 1.0)
 
 
-def pair_background(rows: DataFrame, group: str, vector: str = "vector", key: str = "id", q: float = 0.9, block: int = 1024) -> DataFrame:
+def pair_background(rows: DataFrame, group: str, vector: str = "vector", key: str = "id", q: float = 0.9, block: int = 4096, bins: int = 4096) -> DataFrame:
     """The same over all pairs, without a sample or a least size: every block of rows meets
-    every block in a task of its own, quadratic work. Also the number of pairs."""
+    every block in a task of its own, quadratic work. Also the number of pairs.
+
+    No cosine is kept in the first pass, which counts them by bins; the second one gives the
+    values next to the bins that hold the two ranks, so the quantile is exact and a task
+    holds a bounded part of a block's cosines.
+    """
     own = materialize(rows.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("g").isNotNull()), "vectors")
-    kind = own.schema["g"].dataType.simpleString()
-    blocks = max(1, -(-own.count() // block))
+    kind, pair = own.schema["g"].dataType.simpleString(), ["group_left", "group_right"]
+    n, most = own.agg(F.count("*"), F.max(dot(F.col("v"), F.col("v")))).first()
+    most = most if most and np.isfinite(most) else 1.0  # no cosine of finite vectors is beyond
+    blocks = max(1, -(-n // block))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     numbered = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = numbered.select(F.col("b").alias("lb"), every.alias("rb"), "g", "id", "v")
-    right = numbered.select(every.alias("lb"), F.col("b").alias("rb"), F.col("g").alias("g"), *_again())
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [pa.table({"group_left": pa.array([], a.schema.field("g").type), "group_right": pa.array([], a.schema.field("g").type), "c": pa.array([], pa.float64())})]
-        if len(a) and len(b):
-            (ai, av), (bi, bv) = _matrix(a), _matrix(b)
-            ag, bg = (np.array(t.column("g").to_pylist(), dtype=object) for t in (a, b))
-            for x in set(ag):
-                for y in set(bg):
-                    if x <= y:
-                        i, j = ag == x, bg == y
-                        cos = (av[i] @ bv[j].T)[ai[i][:, None] != bi[j][None]]
-                        names = [pa.repeat(pa.scalar(z, a.schema.field("g").type), len(cos)) for z in (x, y)]
-                        out.append(pa.table({"group_left": names[0], "group_right": names[1], "c": pa.array(cos, pa.float64())}))
-        return pa.concat_tables(out)
-
-    cos = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInArrow(compare, f"group_left {kind}, group_right {kind}, c double")
-    return cos.groupBy("group_left", "group_right").agg(clip(F.percentile("c", q), 0.0, 0.99).alias("quantile"), F.count("*").alias("pairs"))
+    left = numbered.select(F.col("b").alias("lb"), F.explode(every).alias("rb"), "g", "id", "v")
+    right = numbered.select(F.explode(every).alias("lb"), F.col("b").alias("rb"), F.col("g").alias("g"), *_again()).groupBy("lb", "rb")
+
+    def counted(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        for x, y, cos in _cosines(a, b):
+            n = np.bincount(_bin(cos, most, bins), minlength=bins + 1)
+            at = np.flatnonzero(n)
+            out.append((x, y, at, n[at]))
+        return _by_pair(out, a.schema.field("g").type, "bin", pa.int32())
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        is_range = a.column("lo").is_valid()
+        r = a.filter(is_range)
+        ranges = {(x, y): (lo, hi) for x, y, lo, hi in zip(*(r.column(c).to_pylist() for c in ("g", "h", "lo", "hi")))}
+        out = []
+        for x, y, cos in _cosines(a.filter(pa.compute.invert(is_range)), b):
+            at, (lo, hi) = _bin(cos, most, bins), ranges.get((x, y), (0, 0))  # a row's group alone has no pairs
+            value, n = np.unique(cos[(at >= lo) & (at <= hi)], return_counts=True)
+            out += [(x, y, value, n), (x, y, None, np.array([np.count_nonzero(at < lo)]))]
+        return _by_pair(out, a.schema.field("g").type, "x", pa.float64())
+
+    columns = f"group_left {kind}, group_right {kind}"
+    found = left.groupBy("lb", "rb").cogroup(right).applyInArrow(counted, f"{columns}, bin int, n long")
+    below = W.partitionBy(*pair).orderBy("bin")
+    histogram = found.groupBy(*pair, "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(below)).withColumn("pairs", F.sum("n").over(W.partitionBy(*pair)))
+    place = (F.col("pairs") - 1) * F.lit(q)
+    first = lambda c, p: F.min(F.when(F.col("upto") > p, F.col(c)))
+    # a bin more on either side: the same cosine may differ by its last bit from pass to pass
+    ranges = materialize(
+        histogram.groupBy(*pair, "pairs").agg((first("bin", F.floor(place)) - 1).alias("lo"), (first("bin", F.ceil(place)) + 1).alias("hi")), "ranges"
+    )
+    sent = ranges.select(F.explode(every).alias("lb"), "group_left", "group_right", "lo", "hi").select("lb", F.explode(every).alias("rb"), F.col("group_left").alias("g"), F.col("group_right").alias("h"), "lo", "hi")
+    values = left.unionByName(sent, allowMissingColumns=True).groupBy("lb", "rb").cogroup(right).applyInArrow(near, f"{columns}, x double, n long")
+    exact = values.groupBy(*pair, "x").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy(*pair).orderBy(F.asc_nulls_first("x"))))
+    ends = exact.join(ranges.select(*pair, "pairs"), pair).groupBy(*pair, "pairs").agg(first("x", F.floor(place)).alias("a"), first("x", F.ceil(place)).alias("b"))
+    part = place - F.floor(place)
+    return ends.select(*pair, clip(F.when(part > 0, F.col("a") * (1 - part) + F.col("b") * part).otherwise(F.col("a")), 0.0, 0.99).alias("quantile"), "pairs")
+
+
+def _bin(cos: np.ndarray, most: float, bins: int) -> np.ndarray:
+    """Rising with the cosine; what is no number comes last, as it does in sorts."""
+    at = np.clip((cos + most) * (bins / (2 * most)), 0, bins - 1)
+    return np.where(np.isnan(at), bins, at).astype(np.int64)
+
+
+def _cosines(a: pa.Table, b: pa.Table, most: int = 1 << 20) -> Iterator[tuple[object, object, np.ndarray]]:
+    """(group of a, group of b, cosines of pairs) where the groups stand in order, of ``most``
+    or a row's pairs at once."""
+    if not len(a) or not len(b):
+        return
+    (ai, av), (bi, bv) = _matrix(a), _matrix(b)
+    ag, bg = (np.array(t.column("g").to_pylist(), dtype=object) for t in (a, b))
+    left, right = ({x: np.flatnonzero(g == x) for x in set(g)} for g in (ag, bg))
+    for y, j in right.items():
+        step, vectors, ids = max(1, most // len(j)), bv[j].T, bi[j]
+        for x, i in left.items():
+            if x <= y:
+                for at in (i[k : k + step] for k in range(0, len(i), step)):
+                    yield x, y, (av[at] @ vectors)[ai[at][:, None] != ids[None]]
+
+
+def _by_pair(parts: list[tuple], kind: pa.DataType, name: str, of: pa.DataType) -> pa.Table:
+    tables = [pa.table({"group_left": pa.array([], kind), "group_right": pa.array([], kind), name: pa.array([], of), "n": pa.array([], pa.int64())})]
+    for x, y, value, n in parts:
+        held = pa.nulls(len(n), of) if value is None else pa.array(value).cast(of)
+        tables.append(pa.table({"group_left": pa.repeat(pa.scalar(x, kind), len(n)), "group_right": pa.repeat(pa.scalar(y, kind), len(n)), name: held, "n": pa.array(n, pa.int64())}))
+    return pa.concat_tables(tables)
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:

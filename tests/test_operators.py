@@ -172,6 +172,23 @@ def test_background_over_all_pairs(spark, sf_dir):
         assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-5 for k in want)
 
 
+def test_background_holds_no_cosines(spark):
+    """The quantile is exact without an aggregate that keeps every cosine, also with many copies and a row alone in its group."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 40, axis=0), rng.normal(size=(61, 8)), np.zeros((3, 8))])
+    label = np.array([i % 3 for i in range(len(v) - 1)] + [9])
+    rows = frame(spark, [(i, f"L{label[i]}", v[i].tolist()) for i in range(len(v))], "id long, lang string, vector array<double>")
+    got = vectors.pair_background(rows, "lang", block=30, bins=64)
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    cos, apart, want = v @ v.T, ~np.eye(len(v), dtype=bool), {}
+    for x, y in itertools.combinations_with_replacement((0, 1, 2, 9), 2):
+        c = cos[np.ix_(label == x, label == y)][apart[np.ix_(label == x, label == y)]]
+        if len(c):
+            want[f"L{x}", f"L{y}"] = (len(c), float(np.clip(np.quantile(c, 0.9), 0, 0.99)))
+    found = {(r["group_left"], r["group_right"]): (r["pairs"], r["quantile"]) for r in got.collect()}
+    assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_knn_is_exact_at_every_size(spark, monkeypatch):
     """The registered queries' neighbours never come from cells, however many rows there are."""
     monkeypatch.setattr(vectors, "cell_neighbours", lambda *a, **k: pytest.fail("approximate"))
