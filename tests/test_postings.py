@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import postings, similarity
-from newsloom.plans import catalogue
+from newsloom.plans import catalogue, prototypes
 
 
 def links(seed=3, nodes=120, wide=None, shift=0):
@@ -31,3 +31,17 @@ def test_nearest_cosine(spark, wide, shift, block):
 def test_topk_query_makes_no_pairs(spark, sf_dir):
     plan = catalogue.QUERIES["tfidf_cosine_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("block, channels, floor", [(1024, 2, 0.6), (9, 2, 0.3), (1024, 1, 0.6)])
+def test_article_totals(spark, block, channels, floor, monkeypatch):
+    """The sums over all pairs are those of the pairs' table, and no guard refuses them."""
+    whole = postings.mean_totals
+    monkeypatch.setattr(postings, "mean_totals", lambda w, c, f: whole(w, c, f, block))
+    nodes = spark.range(0, 390, 3).select(F.col("id").alias("node"))
+    one, two = (spark.createDataFrame(x, "node long, feature long").cache() for x in (links(), links(5, nodes=70, wide=(8, 9))))
+    s = prototypes.ArticleSettings(neighbours=1 << 30, cap=1 << 30, min_channels=channels, floor=floor)
+    want = prototypes.article_pairs(nodes, {"part": one, "owner": two}, s).groupBy("left").agg(F.count("*").alias("pairs"), F.sum("combined").alias("combined"), F.sum("gated").alias("gated"))
+    got = prototypes.article_totals(nodes, {"part": one, "owner": two}, prototypes.ArticleSettings(most_contributions=1, min_channels=channels, floor=floor))
+    key = lambda r: (r["left"], r["pairs"], round(r["combined"], 7), round(r["gated"], 7))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
