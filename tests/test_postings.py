@@ -21,7 +21,7 @@ def test_nearest_cosine(spark, wide, shift, block):
     """Copies, ties, nodes of many features, features of many nodes in blocks, any ids."""
     rows = spark.createDataFrame(links(wide=wide, shift=shift), "node long, feature long").cache()
     want = similarity.nearest(similarity.cosine_pairs(similarity.tfidf(rows, 130)), 4, 9).collect()
-    weights = postings.with_hashes(similarity.tfidf(rows, 130, keep_df=True))
+    weights = postings.by_node(similarity.tfidf(rows, 130, keep_df=True))
     got = postings.nearest_cosine(weights, 4, block=block)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     key = lambda r: (r["node"], r["rank"], r["neighbor"], round(r["score"], 8))
@@ -45,3 +45,22 @@ def test_article_totals(spark, block, channels, floor, monkeypatch):
     got = prototypes.article_totals(nodes, {"part": one, "owner": two}, prototypes.ArticleSettings(most_contributions=1, min_channels=channels, floor=floor))
     key = lambda r: (r["left"], r["pairs"], round(r["combined"], 7), round(r["gated"], 7))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_candidates_are_written_step_by_step(spark, sf_dir, monkeypatch):
+    """No two steps' shuffles meet: pairs by features, by items and their union are tables, and what is no longer read goes."""
+    written, dropped = [], []
+    write, drop = catalogue.materialize, catalogue.release
+    monkeypatch.setattr(catalogue, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    monkeypatch.setattr(catalogue, "release", lambda df: dropped.append(df.columns) or drop(df))
+    plan = catalogue.QUERIES["candidate_union"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert written == ["weights", "near", "second", "proposed"] and dropped == [["left", "right"], ["node", "items"]]
+    assert "lineitem" not in plan and "MapInArrow" not in plan and "Aggregate" not in plan
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from newsloom.plans.cutpoint import materialize
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    done = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert done.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
