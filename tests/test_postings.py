@@ -58,6 +58,14 @@ def test_candidates_are_written_step_by_step(spark, sf_dir, monkeypatch):
     assert "lineitem" not in plan and "MapInArrow" not in plan and "Aggregate" not in plan
 
 
+def test_scores_are_written_channel_by_channel(spark, sf_dir, monkeypatch):
+    written = []
+    write = catalogue.materialize
+    monkeypatch.setattr(catalogue, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    plan = catalogue.QUERIES["pair_scores_gate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert written == ["weights", "near", "second", "proposed", "candidates", "scores", "weights"] and "lineitem" not in plan
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from newsloom.plans.cutpoint import materialize
 
